@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.llm import quality
+from docsift.llm import quality, simhash
 
-QUERIES = {"op3_quality_rules": quality.op3_quality_rules}
+QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op8_simhash": simhash.op8_simhash,
+}
 ORACLES = {"op3_quality_rules": quality.ORACLE}
