@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docsift.llm import quality, simhash
+from docsift.llm import decontaminate, quality, simhash
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_simhash": simhash.op8_simhash,
 }
-ORACLES = {"op3_quality_rules": quality.ORACLE}
+ORACLES = {
+    "op3_quality_rules": quality.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
+}
