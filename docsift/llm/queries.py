@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from docsift.llm import decontaminate, quality, simhash
+from docsift.llm import decontaminate, packing, quality, simhash, token_files
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_token_files": token_files.op5_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_packing": packing.op7_packing,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
+    "op5_token_files": token_files.op5_token_files,
     "op6_decontaminate": decontaminate.ORACLE,
 }
