@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.llm import decontaminate, packing, quality, simhash, token_files
+from docsift.llm import decontaminate, language, packing, quality, simhash, token_files
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_decontaminate": decontaminate.op6_decontaminate,
