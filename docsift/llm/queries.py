@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docsift.llm import decontaminate, language, packing, quality, simhash, token_files, toxicity
+from docsift.llm import decontaminate, html, language, packing, quality, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_packing": packing.op7_packing,
     "op8_simhash": simhash.op8_simhash,
+    "op9_html": html.op9_html,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
