@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.llm.components import stars
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle) if t else 0 for t in b.column(1).to_pylist()]
+            fps = [fingerprint(t.as_py(), shingle) if t.is_valid else 0 for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -253,6 +253,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, with every column: of each group the one with the smallest id, once. Rows without an id stay.
+
+    Only ids that go travel: they are broadcast while few, else joined by shuffle. Ids that occur more than once and would
+    stay are settled apart.
+    """
+    found = save(components(docs, id_col, text_col, radius, shingle).where("doc_id is not null"), "groups")
+    gone = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    twice = save(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    same = F.col(id_col) == F.col("_id")
+    kept = docs.join(few(gone), same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    named = few(twice)
+    again = kept.join(named, same, "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("_k = 1").drop("_k")
+    return kept.join(named, same, "left_anti").unionByName(again)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return components(table(spark, sf_dir, "documents")).select("doc_id", hexed.alias("fingerprint"), "component_id")
