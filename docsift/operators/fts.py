@@ -27,18 +27,18 @@ def normalize_bm25(raw: Column) -> Column:
 def _count(words: Column, clause: Clause) -> Column:
     """Places in an array of tokens where a clause stands; overlapping ones count."""
     last = len(clause.words) - 1
+    fits = lambda t, k: t.startswith(clause.words[k]) if clause.prefix and k == last else t == clause.words[k]
+    if last == 0:
+        return F.size(F.filter(words, lambda t: fits(t, 0)))
 
-    def at(i: Column) -> Column:
-        fits = F.lit(True)
-        for k, w in enumerate(clause.words):
-            t = F.get(words, i + k)
-            fits = fits & (t.startswith(w) if clause.prefix and k == last else t == w)
-        return F.coalesce(fits, F.lit(False))
+    def here(all_: Column, i: Column) -> Column:
+        out = F.lit(True)
+        for k in range(last + 1):
+            out = out & fits(F.get(all_, i + k), k)
+        return F.coalesce(out, F.lit(False))
 
-    if last == 0:
-        w = clause.words[0]
-        return F.size(F.filter(words, lambda t: t.startswith(w) if clause.prefix else t == w))
-    return F.size(F.filter(words, lambda t, i: at(i)))
+    # The tokens are bound to a name first: a filter on the count may be moved below the projection that makes them.
+    return F.get(F.transform(F.array(words), lambda all_: F.size(F.filter(all_, lambda t, i: here(all_, i)))), 0)
 
 
 def scan(corpus: DataFrame, clauses: Sequence[Clause], fields: Sequence[str], analyzer: str, weights: Sequence[float] = WEIGHTS) -> DataFrame:
@@ -112,8 +112,9 @@ def bm25(clauses: Sequence[Clause]) -> Column:
 
 def ranked(counted: DataFrame, stats: DataFrame, clauses: Sequence[Clause], limit: int | None, ties: Sequence[str]) -> DataFrame:
     """Matching rows with ``score`` in [0, 1), best first, at most ``limit``; equal scores in the order of ``ties``."""
-    hits = counted.where(matches(clauses)).crossJoin(F.broadcast(stats))  # stats is one row
-    scored = hits.withColumn("score", normalize_bm25(bm25(clauses))).drop("n_docs", "total", *[f"df{i}" for i in range(len(clauses))])
+    numbers = stats.first().asDict()  # one row, which becomes constants of the plan
+    hits = counted.where(matches(clauses)).withColumns({k: F.lit(v or 0) for k, v in numbers.items()})
+    scored = hits.withColumn("score", normalize_bm25(bm25(clauses))).drop(*numbers)
     ordered = scored.orderBy(F.desc("score"), *ties)
     return ordered if limit is None else ordered.limit(limit)
 
