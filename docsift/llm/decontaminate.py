@@ -19,12 +19,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docsift.llm.shared import discard, save, table
+from docsift.llm.shared import discard, save, slices, table
 
 WINDOW = 8
 #: Items found in so many make a document contaminated.
@@ -128,38 +128,52 @@ def _joined(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _pass(rows: DataFrame, text_col: str, grams: Grams) -> DataFrame:
-    """Adds a block's hits to the columns FOUND, the last three of ``rows``."""
-    sent, schema, at = rows.sparkSession.sparkContext.broadcast(grams), rows.schema, rows.columns.index(text_col)
+def _pass(rows: DataFrame, text_col: str, grams: Grams, below: int | None) -> DataFrame:
+    """Adds a block's hits to the columns FOUND, the last three of ``rows``.
+
+    With ``below`` this is the last block and the documents are cleaned at once: those with so many items go, the spans of
+    the others are cut out, and FOUND goes.
+    """
+    sent, at = rows.sparkSession.sparkContext.broadcast(grams), rows.columns.index(text_col)
+    names = rows.columns if below is None else rows.columns[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = sent.value
-        for b in batches:
+        for b in slices(batches):
             spans, items, n = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), []
-            for i, t in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
-                w = words_of(t or b"")
+            for i, t in enumerate(b.column(at).cast(pa.binary())):
+                w = words_of(t.as_py() or b"")
                 mask, found = g.scan(w)
                 n.append(len(w))
                 if found:
                     spans[i], items[i] = _joined([*spans[i], *_runs(mask)]), sorted({*items[i], *found})
-            new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=b.schema.names)
+            if below is None:
+                new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=names)
+                continue
+            cols = list(b.columns[:-3])
+            if any(spans):
+                cols[at] = pa.array([cut(t.as_py(), s) if s else t.as_py() for t, s in zip(cols[at], spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([len(x) < below for x in items], pa.bool_()))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema if below is None else T.StructType(rows.schema.fields[:-3]))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, below: int | None = None) -> DataFrame:
     """The documents with every column and FOUND: words, runs of hit words (end exclusive), and the items that occur.
 
     One block is one pass in the scan's own stage. With more, each pass is written to the shared folder before the next, so
-    that one block is in an executor's memory at a time.
+    that one block is in an executor's memory at a time. ``below``: see _pass.
     """
     out = docs.select("*", F.lit(0).cast("long").alias(FOUND[0]), F.expr("cast(array() as array<array<int>>)").alias(FOUND[1]), F.expr("cast(array() as array<string>)").alias(FOUND[2]))
-    for k, grams in enumerate(blocks(benchmark, item_col, item_text, window)):
-        before, out = out, _pass(save(out, "marked") if k else out, text_col, grams)
-        if k > 1:
+    parts = blocks(benchmark, item_col, item_text, window)
+    grams, following, k = next(parts), next(parts, None), 0
+    while following is not None:
+        before, out = out, save(_pass(out, text_col, grams, None), "marked")
+        if k:
             discard(docs.sparkSession, before)
-    return out
+        grams, following, k = following, next(parts, None), k + 1
+    return _pass(out, text_col, grams, below)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
@@ -183,14 +197,7 @@ def cut(text: str, spans: list[list[int]]) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """The documents with every column: contaminated ones go, the others lose their hit spans."""
-    found = mark(docs, benchmark, text_col, item_col, item_text, window).where(F.size("_items") < min_items)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, s) if len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-    kept = found.withColumn(text_col, F.when(F.size("_spans") > 0, without(text_col, "_spans")).otherwise(F.col(text_col)))
-    return kept.select(*docs.columns)
+    return mark(docs, benchmark, text_col, item_col, item_text, window, min_items)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

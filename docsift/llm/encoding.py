@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-#: Distinct pieces that one worker keeps, about 250 bytes each; beyond it all are forgotten and learned anew.
-KEPT = 800_000
+#: Distinct pieces that one worker keeps in each of two tables, about 250 bytes each; beyond it all are forgotten.
+KEPT = 600_000
 #: Letters that normalisation by NFC leaves alone, and ASCII signs after them: the usual word.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 _SPLIT = re.compile(r"(?<=\S)(?=\s\S)")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.shared import table
+from docsift.llm.shared import slices, table
 
 #: Labelled texts drawn for each language, the landmarks among them, and the labels beyond which fitting refuses.
 PER_LABEL, LANDMARKS_PER_LABEL, MAX_LABELS = 300, 48, 200
@@ -133,7 +133,7 @@ def _distinct_grams(full: DataFrame) -> DataFrame:
     """A text's distinct n-grams as strings: what the driver gets grows with the alphabet and not with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 t = " ".join(t.lower().split())
@@ -182,7 +182,7 @@ def _map(rows: DataFrame, model: Model, text_at: int, schema, finish: Callable)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield finish(b, *sent.value.predict(b.column(text_at).to_pylist()))
 
     return rows.mapInArrow(run, schema)

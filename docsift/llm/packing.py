@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.encoding import encoder
-from docsift.llm.shared import table
+from docsift.llm.shared import slices, table
 
 MAX_LEN = 2048
 END_ID = 1
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", *["ids"] * with_ids]
-        for b in batches:
+        for b in slices(batches):
             owner: list[int] = []
             rows: list[tuple] = []
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def no_null_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Rows that a worker turns into Python objects at once.
+ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in small parts, so a worker's memory doesn't follow the batch size; freed memory goes back when a task ends."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.encoding import encoder
-from docsift.llm.shared import fresh_path, table
+from docsift.llm.shared import fresh_path, slices, table
 
 END_ID = 1
 FRAME_BYTES = 1 << 20
@@ -158,7 +158,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
+        for b in slices(batches):
             ids = [enc.encode(t or "") + end for t in b.column(1).to_pylist()]
             names = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(bounds, names, "left"), np.searchsorted(bounds, names, "right")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.shared import table
+from docsift.llm.shared import slices, table
 from docsift.llm.trees import Forest, Isotonic, boost, isotonic
 
 #: Labelled rows that a model is fitted on, those of the least hash of their id.
@@ -32,7 +32,7 @@ TOXIC = 0.7
 #: Words on either side of a second person that count as near it, and the window of the highest local count.
 NEAR, WINDOW = 5, 25
 #: Words that a worker keeps the flags of; beyond it all are looked at anew.
-KEPT = 500_000
+KEPT = 100_000
 
 # Insults and slurs against a reader, in the languages of the corpus.
 INSULTS = """
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [features(t.as_py()).tolist() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["i", "y", "x"])
 
@@ -194,7 +194,7 @@ def _scored(rows: DataFrame, model: Model, text_at: int, schema, finish) -> Data
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t.as_py()) for t in b.column(text_at)]).reshape(-1, len(FEATURES))
             yield finish(b, sent.value.score(x))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.shared import table
+from docsift.llm.shared import slices, table
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Rules become one expression; longer lists belong in a table.
@@ -133,7 +133,7 @@ def judged(pages: DataFrame, rules: dict[str, str] | None = None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
-        for b in batches:
+        for b in slices(batches):
             odds = [judge.score(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds, pa.float64())], names=schema.names)
 
