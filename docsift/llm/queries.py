@@ -16,8 +16,8 @@ QUERIES = {
     "op9_html": html.op9_html,
     "op10_toxicity": toxicity.op10_toxicity,
 }
+#: The others rest on fitted models, tokenizers or iteration; their tests hold them against plain versions.
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
-    "op5_token_files": token_files.op5_token_files,
     "op6_decontaminate": decontaminate.ORACLE,
 }
