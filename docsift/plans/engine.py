@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -40,8 +41,6 @@ class Engine:
     # --- collections and contexts
 
     def register_collection(self, c: Collection) -> None:
-        import os
-
         if not files.SCHEMES.match(c.path) and not os.path.isdir(c.path):
             raise ConfigError(f"not a directory: {c.path}")
         self.store.put_collection(c)

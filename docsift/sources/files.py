@@ -115,17 +115,23 @@ def _fits(path: Column, c: Collection) -> Column:
     return ok
 
 
+def below(spark: SparkSession, base: str) -> Column:
+    """The part of a listed file's ``path`` below a directory, which Spark writes with scheme and host."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    return F.when(F.col("path").startswith(full), F.substr("path", F.lit(len(full) + 1)))
+
+
 def scan(spark: SparkSession, c: Collection) -> DataFrame:
     """``collection, path, body``: every file that the walk finds; body is null where the file isn't UTF-8 text.
 
-    Local directories are walked on the driver with .gitignore rules, and files are read on the executors; other stores are listed by
-    Spark, where .gitignore files are not looked at.
+    Local directories are walked on the driver with .gitignore rules, and files are read on the executors, which must see the
+    same directory; other stores are listed by Spark, where .gitignore files are not looked at.
     """
     base = c.path.rstrip("/") or "/"
     if SCHEMES.match(base) and not base.startswith("file:"):
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        at = F.locate(base.split("://", 1)[1].split("/", 1)[-1] + "/", F.col("path"))
-        rows = raw.select(F.substr("path", at + F.lit(len(base.split("://", 1)[1].split("/", 1)[-1]) + 1)).alias("path"), "content")
+        rows = raw.select(below(spark, base).alias("path"), "content")
         rows = rows.where(_fits(F.col("path"), c))
     else:
         base = base.removeprefix("file://")

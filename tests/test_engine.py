@@ -9,7 +9,7 @@ from docsift.functions.chunk import Chunker
 from docsift.operators.fuse import OverlapReranker
 from docsift.plans.engine import Engine
 from docsift.schema import Collection, UpdateResult
-from docsift.sources.files import walk
+from docsift.sources.files import scan, walk
 from docsift.streaming.ingest import watch
 
 
@@ -118,6 +118,13 @@ def test_collections_contexts_and_cleanup(engine, place, tmp_path):
     assert engine.remove_collection("papers") == 3 and engine.doc_count() == 0 and engine.status().total_documents == 0
 
 
+def test_listed_by_spark(spark, place):
+    """The way for stores that aren't local, tried on a local one under another scheme."""
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.store.link./{place.name}", f"file://{place}")
+    rows = scan(spark, Collection("docs", f"viewfs://store/{place.name}", ignore=["drafts/"]))
+    assert sorted(r.path for r in rows.collect()) == ["b.md", "bad.md", "blank.md", "rust.md", "same.md", "skip.md", "sub/c.md"]
+
+
 def test_command_line(engine, place, capsys):
     run = lambda *a: cli.run(engine, cli.parser().parse_args(list(a)))
     assert run("update") == "1 collections: 4 indexed, 0 updated, 0 unchanged, 0 removed"
