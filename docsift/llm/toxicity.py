@@ -28,6 +28,8 @@ from docsift.llm.trees import Forest, Isotonic, boost, isotonic
 #: Labelled rows that a model is fitted on, those of the least hash of their id.
 SAMPLE = 20_000
 FOLDS = 4
+#: Times as many rows as are drawn that a hash bound leaves to draw from.
+SPARE, LARGEST = 4, (1 << 63) - 1
 TOXIC = 0.7
 #: Words on either side of a second person that count as near it, and the window of the highest local count.
 NEAR, WINDOW = 5, 25
@@ -170,7 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Ids are chosen from narrow columns; features are made on the executors, and only those numbers come to the driver.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    ids = docs.select(F.col(id_col).alias("i")).distinct().join(known, "i").orderBy(F.xxhash64("i", F.lit(5)), "i").limit(sample)
+    h = F.xxhash64("i", F.lit(5)).bitwiseAND(F.lit(LARGEST))
+    ids = docs.select(F.col(id_col).alias("i")).distinct().join(known, "i").withColumn("h", h)
+    # Hashes beyond a few times what is wanted can't be among the least, and aren't sent to the one task that picks.
+    least = min(LARGEST, LARGEST * SPARE * sample // max(1, ids.count()))
+    ids = ids.where(F.col("h") <= least).orderBy("h", "i").limit(sample).drop("h")
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: A leaf holds one row in a hundred at least, and never fewer than LEAST_ROWS.
-BINS, DEPTH, TREES, RATE, LEAST_ROWS, SHRINK = 64, 3, 80, 0.12, 20, 5.0
+BINS, DEPTH, TREES, RATE, LEAST_ROWS, SHRINK = 64, 3, 80, 0.12, 5, 2.0
 
 
 @dataclass
