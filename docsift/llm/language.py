@@ -30,6 +30,8 @@ from docsift.llm.shared import slices, table
 
 #: Labelled texts drawn for each language, the landmarks among them, and the labels beyond which fitting refuses.
 PER_LABEL, LANDMARKS_PER_LABEL, MAX_LABELS = 300, 48, 200
+#: Times as many rows as are drawn that a hash bound leaves to draw from.
+SPARE, LARGEST = 4, (1 << 63) - 1
 RIDGE = 1e-3
 #: Slope of the softmax that turns regression values, near 0 and 1, into a score.
 SLOPE = 6.0
@@ -118,12 +120,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     Ids are chosen from two narrow columns; texts are then read for those alone.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
-    labels = sorted(r.y for r in ids.select("y").distinct().limit(MAX_LABELS + 1).collect())
+    ids = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.xxhash64(F.col(id_col), F.lit(11)).bitwiseAND(F.lit(LARGEST)).alias("h"))
+    counts = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
+    labels = sorted(counts)
     if len(labels) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
+    # Hashes beyond a few times what is wanted can't be among the least, and aren't sent to the label's task.
+    least = F.lit(LARGEST)
+    for y, n in counts.items():
+        least = F.when(F.col("y") == y, F.lit(min(LARGEST, LARGEST * SPARE * per_label // n))).otherwise(least)
     w = Window.partitionBy("y").orderBy("h", "i")
-    chosen = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_label).select("i", "y").distinct()
+    chosen = ids.where(F.col("h") <= least).withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_label).select("i", "y").distinct()
     full = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.col(text_col).alias("t")).join(F.broadcast(chosen), ["i", "y"], "left_semi")
     sample = _distinct_grams(full).toPandas().sort_values(["y", "h"], kind="stable").groupby("y", sort=True).head(per_label)
     return _solve(sample["chars"].tolist(), sample["y"].tolist(), labels, landmarks)
@@ -156,7 +163,19 @@ def _solve(texts: list, y: list[str], labels: list[str], landmarks: int) -> Mode
     number[[c for c in range(1 << 16) if chr(c).isspace()]] = 0
 
     def codes(t: list[str]) -> np.ndarray:
-        return np.unique(np.concatenate([g for x in t for g in _grams(_symbols(x, number))])) if t else np.zeros(0, np.int64)
+        found = [np.zeros(0, np.int64)]
+        for n in {len(g) for g in t}:  # all of one length side by side
+            cps = np.frombuffer("".join(g for g in t if len(g) == n).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            s = np.where(cps < len(number), number[np.minimum(cps, len(number) - 1)], 1 + OWN + cps % SHARED).astype(np.int64)
+            base = 0
+            for order in range(1, n + 1):
+                for at in range(n - order + 1):
+                    code = np.zeros(len(s), np.int64)
+                    for k in range(order):
+                        code = code * SYMBOLS + s[:, at + k]
+                    found.append(base + code)
+                base += SYMBOLS**order
+        return np.unique(np.concatenate(found))
 
     sets = [codes(t) for t in grams]
     marks = [i for k in labels for i in [j for j, v in enumerate(y) if v == k][:landmarks]]
