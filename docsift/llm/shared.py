@@ -1,4 +1,4 @@
-"""Helpers that every operator of this subpackage uses: the shared working folder, table saves and input cleaning."""
+"""Helpers that every operator of this subpackage uses: the shared working folder, table saves, and small batches."""
 
 from __future__ import annotations
 
@@ -17,14 +17,13 @@ def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is ``spark.checkpoint.dir`` of the session. Only a local master may run without that setting (as tests do); then a
-    temporary folder of this machine is set, since driver and executors are one process.
+    folder of this machine serves, since driver and executors are one process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"docsift-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
