@@ -1,9 +1,11 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features are counted over the whole text: densities of a fixed lexicon, hits near a second person, capitals, punctuation, and
-how much of the wording is obfuscated (look-alike signs, stars for letters, stretched letters, letters set apart). A word is
-looked at once a worker; its flags are then kept. The trees are grown from a bounded sample of labelled rows; calibration uses
-predictions for rows that the tree in question didn't see.
+how much of the wording is obfuscated (look-alike signs, stars for letters, stretched letters, letters set apart). The fixed
+list covers few words of few languages, so a second lexicon is learned from the labels: words and beginnings of words that more
+toxic than clean rows hold, each with a weight. A word is looked at once a worker; its flags and weight are then kept. The trees
+are grown from a bounded sample of labelled rows; features of a row there come from a lexicon that was learned without the row's
+fold, and calibration uses predictions for rows that the tree in question didn't see.
 
 Defined results: null and blank texts have all features 0 and the score that the model gives to that; a null id gets a row;
 several labels of one id count as toxic if one is; without labels, or with one label value only, every score is that value's
@@ -13,6 +15,8 @@ share (0 without labels); repeated rows each get a row; other columns are not re
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.shared import slices, table
+from docsift.llm.shared import discard, save, slices, table
 from docsift.llm.trees import Forest, Isotonic, boost, isotonic
 
 #: Labelled rows that a model is fitted on, those of the least hash of their id.
@@ -35,6 +39,9 @@ TOXIC = 0.7
 NEAR, WINDOW = 5, 25
 #: Words that a worker keeps the flags of; beyond it all are looked at anew.
 KEPT = 100_000
+#: Lengths of the beginnings of words that are learned; toxic rows that a learned term is in at least; standard errors by which
+#: its log odds must differ; terms that the driver gets at most, and counts that a worker holds at once.
+BEGINNINGS, LEAST_ROWS, SURE, TERMS, COUNTS = range(4, 9), 3, 3.0, 50_000, 200_000
 
 # Insults and slurs against a reader, in the languages of the corpus.
 INSULTS = """
@@ -55,6 +62,8 @@ LOOKS = str.maketrans("013457@$!|€", "oieastasiie")
 
 INSULT, THREAT, SECOND, CAPS, LOUD, HIDDEN, LETTER = (1 << k for k in range(7))
 FEATURES = ("log_words", "insults", "log_insults", "kinds", "local", "threats", "near_you", "you", "caps_words", "capitals", "loud", "punctuation", "hidden", "hidden_insults", "spaced", "digits", "signs", "beyond_ascii")
+LEARNED = ("learned", "learned_weight", "log_learned", "learned_kinds", "learned_local", "learned_near_you")
+FEATURES += LEARNED
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
@@ -113,7 +122,49 @@ class _Words(dict):
 _WORDS: _Words | None = None
 
 
-def features(text: str | None) -> np.ndarray:
+def _folded(word: str) -> str:
+    """Lower case without accents and signs around."""
+    low = _EDGE.sub("", word).lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+
+
+def _terms(folded: str) -> list[str]:
+    """What is learned of a word: itself, closed by a blank, its beginnings, and pairs and triples of signs of unspaced scripts."""
+    out = [folded + " ", *(folded[:k] for k in BEGINNINGS if k <= len(folded))] if len(folded) > 1 else []
+    if folded > "\u0e00" or not folded.isascii() and any(c > "\u0e00" for c in folded):
+        out += [folded[i : i + k] for k in (2, 3) for i in range(len(folded) - k + 1)]
+    return out
+
+
+class Lexicon(dict):
+    """Weights of words by their spelling, 0 for those of no learned term; an obfuscated word has that of its plain spelling."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= KEPT:
+            self.clear()
+        folded = _folded(word)
+        spellings = [folded]
+        if folded and (not folded.isalpha() or _STRETCH.search(folded)):
+            plain = _INNER.sub("", folded).translate(LOOKS)
+            spellings += [plain, _INNER.sub("", _folded(word.translate(LOOKS))), _squeezed(plain)]
+        weight = self[word] = max((self.weights.get(t, 0.0) for s in spellings for t in _terms(s)), default=0.0)
+        return weight
+
+
+def lexicon(terms: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the terms that surely more toxic rows hold: the lower bound of their log odds ratio."""
+    a, b = toxic + 0.5, clean + 0.5
+    c, d = n_toxic - toxic + 0.5, n_clean - clean + 0.5
+    odds, error = np.log(a / c) - np.log(b / d), np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    keep = np.flatnonzero((toxic >= LEAST_ROWS) & (odds > SURE * error))
+    return {terms[i]: float(odds[i] - error[i]) for i in keep.tolist()}
+
+
+def features(text: str | None, learned: Lexicon | None = None) -> np.ndarray:
     """The dense features of one whole text, in the order of FEATURES."""
     global _WORDS
     if _WORDS is None:
@@ -150,6 +201,13 @@ def features(text: str | None) -> np.ndarray:
     out[9], out[10] = counts[65:91].sum() / size, (flags & LOUD > 0).sum() / n
     out[11] = counts[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum() / size
     out[12], out[13], out[14] = hidden.sum() / n, (hidden & insult).sum() / n, spaced / n
+    if learned is not None and learned.weights:
+        w = np.fromiter(map(learned.__getitem__, words), np.float64, n)
+        toxic = w > 0
+        if found := int(toxic.sum()):
+            c, y, at = np.concatenate([[0], np.cumsum(toxic)]), np.concatenate([[0], np.cumsum(you)]), np.flatnonzero(toxic)
+            near = y[np.minimum(at + NEAR + 1, n)] - y[np.maximum(at - NEAR, 0)] > 0
+            out[18:] = found / n, w.sum() / n, np.log1p(found), len({words[i] for i in at.tolist()}), (c[np.minimum(at + WINDOW, n)] - c[at]).max(), near.sum() / n
     out[15], out[16], out[17] = counts[48:58].sum() / size, counts[[35, 36, 37, 38, 42, 60, 62, 64, 95, 124, 126]].sum() / size, counts[128:].sum() / size
     return out
 
@@ -159,6 +217,7 @@ class Model:
     forest: Forest | None
     curve: Isotonic | None
     share: float
+    weights: dict[str, float]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.forest is None:
@@ -169,39 +228,78 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` rows of docs with a label.
 
-    Ids are chosen from narrow columns; features are made on the executors, and only those numbers come to the driver.
+    Ids are chosen from narrow columns, and the chosen texts go to the shared folder, one an id. Terms are counted and features
+    made on the executors; only numbers and terms that may be learned come to the driver.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     h = F.xxhash64("i", F.lit(5)).bitwiseAND(F.lit(LARGEST))
     ids = docs.select(F.col(id_col).alias("i")).distinct().join(known, "i").withColumn("h", h)
     # Hashes beyond a few times what is wanted can't be among the least, and aren't sent to the one task that picks.
     least = min(LARGEST, LARGEST * SPARE * sample // max(1, ids.count()))
-    ids = ids.where(F.col("h") <= least).orderBy("h", "i").limit(sample).drop("h")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("i", "y", "t")
+    drawn = [(r.i, int(r.y > 0)) for r in ids.where(F.col("h") <= least).orderBy("h", "i").limit(sample).collect()]
+    y = np.array([v for _, v in drawn], float)
+    if len(y) < 2 * FOLDS or y.min() == y.max():
+        return Model(None, None, float(y.mean()) if len(y) else 0.0, {})
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    marks = spark.createDataFrame([(i, v, at) for at, (i, v) in enumerate(drawn)], f"i {kind}, y int, at int")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").groupBy("at", "y").agg(F.min("t").alias("t"))
+    rows = save(rows.repartition(max(1, len(drawn) // 500)), "toxicity-sample")
+    fold = np.arange(len(y)) % FOLDS
+    terms, counts = _counted(rows, y, fold)
+    side = lambda k, v: (counts.sum(axis=1) - (0 if k is None else counts[:, k]))[:, v]
+    weights = lambda k: lexicon(terms, side(k, 1), side(k, 0), int(y[fold != k].sum()), int((1 - y[fold != k]).sum()))
+    sent = spark.sparkContext.broadcast([weights(k) for k in range(FOLDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = [Lexicon(w) for w in sent.value]
         for b in slices(batches):
-            x = [features(t.as_py()).tolist() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["i", "y", "x"])
+            x = [features(t.as_py(), learned[at % FOLDS]).tolist() for at, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["at", "x"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"i {kind}, y int, x array<double>").toPandas().sort_values("i", kind="stable").groupby("i").head(1)
-    y = (got["y"].to_numpy() > 0).astype(float)
-    if len(y) < 2 * FOLDS or y.min() == y.max():
-        return Model(None, None, float(y.mean()) if len(y) else 0.0)
+    got = rows.select("at", "t").mapInArrow(run, "at int, x array<double>").toPandas().sort_values("at")
+    discard(spark, rows)
     x = np.array(got["x"].tolist())
-    fold, raw = np.arange(len(y)) % FOLDS, np.zeros(len(y))
+    raw = np.zeros(len(y))
     for k in range(FOLDS):
         raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(boost(x, y), isotonic(raw, y), float(y.mean()))
+    return Model(boost(x, y), isotonic(raw, y), float(y.mean()), weights(None))
+
+
+def _counted(rows: DataFrame, y: np.ndarray, fold: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Terms that some lexicon may take, and the rows that hold them by fold and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in held], pa.string()), pa.array([c for _, c in held], pa.int32()), pa.array(held.values(), pa.int64())], names=["term", "c", "n"])
+
+        for b in slices(batches):
+            for at, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                c = at % FOLDS * 2 + v
+                held.update({(x, c) for w in {_folded(w) for w in (t.as_py() or "").split()} for x in _terms(w)})
+                if len(held) > COUNTS:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    at = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
+    toxic, clean = (sum((F.col(f"c{2 * k + v}") for k in range(1, FOLDS)), F.col(f"c{v}")) for v in (1, 0))
+    n = [float(max(1, (y == v).sum())) for v in (0, 1)]
+    more = (toxic + 0.5) / n[1] - (clean + 0.5) / n[0]
+    spread = F.sqrt((toxic + 0.5) / (n[1] * n[1]) + (clean + 0.5) / (n[0] * n[0]))
+    summed = rows.select("at", "y", "t").mapInArrow(run, "term string, c int, n bigint").groupBy("term").agg(*at)
+    found = summed.where((toxic >= LEAST_ROWS) & (more > 0)).orderBy((more / spread).desc(), "term").limit(TERMS).toPandas()
+    return found["term"].tolist(), found.drop(columns="term").to_numpy(np.int64).reshape(-1, FOLDS, 2)
 
 
 def _scored(rows: DataFrame, model: Model, text_at: int, schema, finish) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = Lexicon(sent.value.weights)
         for b in slices(batches):
-            x = np.array([features(t.as_py()) for t in b.column(text_at)]).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py(), learned) for t in b.column(text_at)]).reshape(-1, len(FEATURES))
             yield finish(b, sent.value.score(x))
 
     return rows.mapInArrow(run, schema)

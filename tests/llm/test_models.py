@@ -63,6 +63,29 @@ def test_toxicity_held_out(spark, docs):
     assert sum(r.predicted for r in rows if r.toxic == 0) == 0
 
 
+LABELLED = "/root/testdata/sf0.1"
+
+
+def test_toxicity_held_out_of_every_language(spark):
+    """All rows labelled toxic count, and their words are learned from rows that aren't held out."""
+    labels, docs = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("labels", "documents"))
+    rows = toxicity.op10_toxicity(spark, LABELLED).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "predicted").collect()
+    for lang in ("en", "fr", "de", "es"):
+        toxic, clean = ([r.predicted for r in rows if r.lang == lang and r.toxic == v] for v in (1, 0))
+        assert sum(toxic) >= 0.85 * len(toxic) > 0 and sum(clean) <= 0.02 * len(clean)
+
+
+def test_learned_lexicon():
+    """Terms that toxic rows hold more often count, under another spelling too; those of a few rows or of both sides don't."""
+    weights = toxicity.lexicon(["zorgl", "the ", "rare"], np.array([40, 100, 2]), np.array([20, 900, 0]), 100, 900)
+    assert set(weights) == {"zorgl"}
+    words = toxicity.Lexicon(weights)
+    assert words["Zorgling,"] == words["z0rgl"] == words["zórglen"] == words["zoooorgl"] > 0 and not words["zorg"] and not words["the"]
+    f = dict(zip(toxicity.FEATURES, toxicity.features("you zorgl and zorgling of the wood", words), strict=True))
+    assert f["learned"] == pytest.approx(2 / 7) and f["learned_kinds"] == f["learned_local"] == 2 and f["learned_near_you"] == pytest.approx(2 / 7) and not f["insults"]
+    assert toxicity._terms("中文字") == ["中文字 ", "中文", "文字", "中文字"]
+
+
 def test_toxic_features():
     at = toxicity.FEATURES.index
     f = toxicity.features("you are an 1d1ot and a m0r0n, st*pid sc.u.m")
