@@ -148,6 +148,16 @@ def test_query_9(spark):
         assert r.text == "\n".join(p for p in (" ".join(unescape(x).split()) for x in parts) if p) and r.n_chars == len(r.text)
 
 
+def test_pipeline_drops_toxic_documents_of_every_language(spark):
+    """Rows labelled toxic, held-out ids included."""
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in corpus_pipeline.toxic(spark, docs, LABELLED).select("doc_id").collect()}
+    rows = labels.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "toxic", (toxicity.remainder() == 1).alias("held_out")).collect()
+    for lang, held in itertools.product(("en", "fr", "de", "es"), (False, True)):
+        toxic, clean = ([r.doc_id not in kept for r in rows if r.lang == lang and r.held_out == held and r.toxic == v] for v in (1, 0))
+        assert sum(toxic) >= 0.85 * len(toxic) > 0 and sum(clean) <= 0.02 * len(clean)
+
+
 def test_pipeline(spark, docs, tmp_path):
     """Each stage against the rows it was given."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_dedup", "decontamination", "packing"]
