@@ -215,8 +215,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", guesses: float = LEAST_GUESSES) -> DataFrame:
-    """The documents, with every column, whose language is told with a score of so many even guesses or more."""
-    least = guesses / max(1, len(model.labels))
+    """The documents, with every column, whose language is told with a score of so many even guesses or more.
+
+    Where one label alone was learned every score is 1, and all texts with a letter stay.
+    """
+    least = min(1.0, guesses / max(1, len(model.labels)))
     return _map(docs, model, docs.columns.index(text_col), docs.schema, lambda b, y, s: b.filter(pa.array([k != UND and v >= least for k, v in zip(y, s, strict=True)], pa.bool_())))
 
 

@@ -39,6 +39,13 @@ def test_language_of_odd_rows(spark, odd, none, docs):
     assert {r.lang_pred for r in language.predict(odd, blank).collect()} == {"und"}
 
 
+def test_one_language(spark):
+    """A table of one language keeps every text with a letter."""
+    rows = spark.createDataFrame([(i, f"words of text number {i}, and more", "en") for i in range(20)] + [(20, "12 34", None), (21, None, "en"), (22, "another one", None)], "doc_id long, text string, lang string")
+    kept = language.keep_known(rows, language.fit(rows))
+    assert {r.doc_id for r in kept.collect()} == {*range(20), 22}
+
+
 def test_kernel_values_against_sets(docs):
     """Two matrix products give the plain kernel sum over landmarks."""
     model = language.fit(docs.limit(120), per_label=10, landmarks=5)
