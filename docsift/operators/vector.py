@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are compared at once in a batch search, so what is broadcast stays small.
 QUERY_BLOCK = 4096
+#: Distances of a batch that a task holds at once.
+CELLS = 1 << 20
 
 
 class Embedder(Protocol):
@@ -73,7 +75,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     """``query_id, id, distance, rank``: the k nearest of each query among all vectors.
 
     Queries go round in blocks of a bounded size; each task keeps k candidates a query and block, and a window picks the k
-    best of those. Distances are recomputed in double for the candidates, so ranks don't depend on float rounding.
+    best of those. Candidates of a batch are all rows that rounding can't tell from the k-th nearest, however many tie; their
+    distances are recomputed from differences and cut to k by distance and id, so ranks don't depend on rounding or partitions.
     """
     out = None
     asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
@@ -94,10 +97,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                 names = np.array([n for n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v is not None and len(v) == q.shape[1]], np.int64)
                 if not len(names):
                     continue
-                near = qq[:, None] + (x**2).sum(axis=1)[None] - 2 * q @ x.T
-                top = np.argpartition(near, min(k + 8, len(names)) - 1, axis=1)[:, : k + 8] if len(names) > k + 8 else np.tile(np.arange(len(names)), (len(ids), 1))
-                d = np.sqrt(((x[top] - q[:, None]) ** 2).sum(axis=2))
-                best.append(np.stack([np.repeat(ids, top.shape[1]), names[top].ravel(), d.ravel().view(np.int64)]))
+                best += _candidates(ids, q, qq, names, x, k)
                 if sum(p.shape[1] for p in best) > 64 * k * len(ids):
                     best = [_kept(np.concatenate(best, axis=1), k)]
             if best:
@@ -115,6 +115,25 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
+def _candidates(ids: np.ndarray, q: np.ndarray, qq: np.ndarray, names: np.ndarray, x: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """``query, id, distance`` of the k nearest rows of a batch, ties by id, for some queries at a time."""
+    xx, dims = (x**2).sum(axis=1), max(1, x.shape[1])
+    wide = 8 * (dims + 4) * np.finfo(float).eps
+    step, pairs = max(1, CELLS // len(names)), max(1, CELLS // dims)
+    for at in range(0, len(ids), step):
+        some, norm = q[at : at + step], qq[at : at + step, None]
+        near = norm + xx[None] - 2 * some @ x.T
+        last = np.partition(near, k - 1, axis=1)[:, k - 1 : k] if len(names) > k else np.full((len(some), 1), np.inf)
+        # Both the k-th value and the one beside it may be off by the rounding of sums of this size.
+        row, col = np.nonzero(~(near - wide * (norm + xx[None]) > last + wide * (norm + np.max(xx))))
+        kept: list[np.ndarray] = []
+        for p in range(0, len(row), pairs):
+            r, c = row[p : p + pairs], col[p : p + pairs]
+            d = np.sqrt(((x[c] - some[r]) ** 2).sum(axis=1))
+            kept = [_kept(np.concatenate([*kept, np.stack([ids[at + r], names[c], d.view(np.int64)])], axis=1), k)]
+        yield from kept
+
+
 def _kept(rows: np.ndarray, k: int) -> np.ndarray:
     """The k nearest of each query."""
     order = np.lexsort((rows[1], rows[2].view(np.float64), rows[0]))

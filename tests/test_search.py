@@ -53,6 +53,21 @@ def test_knn_and_batch(spark):
     assert [r.vec_id for r in vector.knn(rows, x[0].tolist(), 5, ("vec_id",)).collect()] == np.lexsort((np.arange(300), d[0]))[:5].tolist()
 
 
+def test_batch_of_equal_vectors(spark):
+    """Of thousands of equal vectors in a batch the least ids count, at the cut too, however rows are dealt."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 8)).astype(np.float32)
+    x[rng.permutation(6000)[:4000]] = x[17]
+    x[:3] = x[17] + np.float32([[1e-3], [2e-3], [3e-3]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = [0, 17, 40, 5999]
+    for n in (1, 3):
+        got = vector.knn_batch(rows.repartition(n), rows.where(F.col("vec_id").isin(asked)), 6).collect()
+        for i in asked:
+            d = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(axis=1))
+            assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == np.lexsort((np.arange(6000), d))[:6].tolist()
+
+
 def test_fusion(spark):
     def lists(*keys_and_weights):
         rows = [(k, i, w, r) for i, (keys, w) in enumerate(keys_and_weights) for r, k in enumerate(keys)]
