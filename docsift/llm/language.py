@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     Ids are chosen from two narrow columns; texts are then read for those alone.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.xxhash64(F.col(id_col), F.lit(11)).bitwiseAND(F.lit(LARGEST)).alias("h"))
+    ids = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).distinct().withColumn("h", F.xxhash64("i", F.lit(11)).bitwiseAND(F.lit(LARGEST)))
     counts = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
     labels = sorted(counts)
     if len(labels) > MAX_LABELS:
@@ -130,9 +130,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     for y, n in counts.items():
         least = F.when(F.col("y") == y, F.lit(min(LARGEST, LARGEST * SPARE * per_label // n))).otherwise(least)
     w = Window.partitionBy("y").orderBy("h", "i")
-    chosen = ids.where(F.col("h") <= least).withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_label).select("i", "y").distinct()
+    chosen = ids.where(F.col("h") <= least).withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_label).select("i", "y")
     full = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.col(text_col).alias("t")).join(F.broadcast(chosen), ["i", "y"], "left_semi")
-    sample = _distinct_grams(full).toPandas().sort_values(["y", "h"], kind="stable").groupby("y", sort=True).head(per_label)
+    # One text an id and label, the least: however often an id repeats, the driver gets per_label rows of a label at most.
+    sample = _distinct_grams(full.groupBy("i", "y").agg(F.min("t").alias("t"))).toPandas().sort_values(["y", "h"], kind="stable")
     return _solve(sample["chars"].tolist(), sample["y"].tolist(), labels, landmarks)
 
 

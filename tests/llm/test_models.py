@@ -46,6 +46,15 @@ def test_one_language(spark):
     assert {r.doc_id for r in kept.collect()} == {*range(20), 22}
 
 
+def test_repeated_ids_in_the_sample(spark, monkeypatch):
+    """However often an id repeats, a label sends per_label rows at most, and other ids aren't crowded out."""
+    rows = spark.createDataFrame([(7, f"copy {i} of one id", "en") for i in range(500)] + [(i, f"text {i} stands alone", "en") for i in range(100, 140)], "doc_id long, text string, lang string")
+    sent, grams = [], language._distinct_grams
+    monkeypatch.setattr(language, "_distinct_grams", lambda full: sent.append(grams(full)) or sent[-1])
+    language.fit(rows, per_label=30, landmarks=5)
+    assert sent[0].count() == 30
+
+
 def test_kernel_values_against_sets(docs):
     """Two matrix products give the plain kernel sum over landmarks."""
     model = language.fit(docs.limit(120), per_label=10, landmarks=5)
