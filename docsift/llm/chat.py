@@ -1,7 +1,8 @@
 """Quotation linking for conversations; DataFrame functions only.
 
-Lines that begin with ``>`` are quoted, once for each ``>``. Runs of lines of one level are passages. A passage, and each
-sentence of it, is normalised (lower case, letters and digits only) and hashed; the hash is looked up among the hashes of what
+Lines that begin with ``>`` are quoted, once for each ``>``. Runs of lines of one level are passages. A passage, each
+paragraph and each sentence of it (over line breaks, and line by line) is normalised (lower case, letters and digits only) and
+hashed; the hash is looked up among the hashes of what
 earlier messages of the conversation say in their own words. The latest earlier message that holds it is the origin. A message
 replies to the origin of most of its hashes at the outermost level that has one, the latest on a tie. Messages of one reply
 tree form a thread.
@@ -42,10 +43,12 @@ def _plain(text: Column) -> Column:
 
 
 def _units(passage: Column) -> Column:
-    """Distinct hashes of a passage and its sentences."""
-    whole = F.array(_plain(passage))
-    sentences = F.transform(F.split(passage, r"[.!?…]+(?:\s+|$)|\n"), _plain)
-    return F.transform(F.filter(F.array_distinct(F.concat(whole, sentences)), lambda x: x != ""), lambda x: F.md5(x))
+    """Distinct hashes of a passage, its paragraphs, its sentences over soft line breaks, and the parts of those on a line."""
+    paragraphs = F.split(passage, r"\n\s*\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"[.!?…]+(?:\s+|$)")))
+    parts = F.split(passage, r"[.!?…]+(?:\s+|$)|\n")
+    units = F.transform(F.concat(F.array(passage), paragraphs, sentences, parts), _plain)
+    return F.transform(F.filter(F.array_distinct(units), lambda x: x != ""), lambda x: F.md5(x))
 
 
 def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:

@@ -80,3 +80,12 @@ def test_query_4(spark):
     got = QUERIES["op4_chat"](spark, DATA)
     talk = spark.read.parquet(f"{DATA}/conversations.parquet")
     assert got.count() == talk.count() and got.where("n_quotes = 0").select("conv_id", "turn", "role", "text").exceptAll(talk).count() == 0
+
+
+def test_wrapped_quotes(spark):
+    """Sentences that a mail client wraps anew are found, and so is a paragraph of a longer message."""
+    said = "First thing to say, which is long. The second sentence is longer than\nthe first one was. A third one ends it.\n\nAnother paragraph here, with no stop\nat all"
+    wrapped = "> First thing to say,\n> which is long. The second sentence is longer\n> than the first one was.\nYes."
+    paragraph = "> Another paragraph here, with\n> no stop at all\nI see."
+    rows = {r.turn: r for r in chat.link(spark.createDataFrame([(1, 0, said), (1, 1, wrapped), (1, 2, paragraph)], "conv_id long, turn long, text string")).collect()}
+    assert (rows[1].reply_to, rows[1].n_linked, rows[1].text) == (0, 2, "Yes.") and (rows[2].reply_to, rows[2].text) == (0, "I see.")
