@@ -2,14 +2,16 @@
 
 Features are counted over the whole text: densities of a fixed lexicon, hits near a second person, capitals, punctuation, and
 how much of the wording is obfuscated (look-alike signs, stars for letters, stretched letters, letters set apart). The fixed
-list covers few words of few languages, so a second lexicon is learned from the labels: words and beginnings of words that more
-toxic than clean rows hold, each with a weight. A word is looked at once a worker; its flags and weight are then kept. The trees
-are grown from a bounded sample of labelled rows; features of a row there come from a lexicon that was learned without the row's
-fold, and calibration uses predictions for rows that the tree in question didn't see.
+list covers few words of few languages, so a second lexicon is learned from the labels: words and beginnings of words that surely
+many more toxic than clean rows hold, each with a weight. A word is looked at once a worker; its flags and weight are then kept.
+The trees are grown from a bounded sample of labelled rows; features of a row there come from a lexicon that was learned without
+the row's fold, and calibration uses predictions for rows that the tree in question didn't see. Near copies, found by the least
+hash of their five-word shingles, share a fold and count once for a term, so a text that many copied teaches no words of its own.
 
 Defined results: null and blank texts have all features 0 and the score that the model gives to that; a null id gets a row;
 several labels of one id count as toxic if one is; without labels, or with one label value only, every score is that value's
-share (0 without labels); repeated rows each get a row; other columns are not read (score) or pass through (keep_clean).
+share (0 without labels); a sample of so few different texts that a fold would have none or one label to learn from is dealt by
+rows; repeated rows each get a row; other columns are not read (score) or pass through (keep_clean).
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ TOXIC = 0.7
 NEAR, WINDOW = 5, 25
 #: Words that a worker keeps the flags of; beyond it all are looked at anew.
 KEPT = 100_000
-#: Lengths of the beginnings of words that are learned; toxic rows that a learned term is in at least; standard errors by which
-#: its log odds must differ; terms that the driver gets at most, and counts that a worker holds at once.
-BEGINNINGS, LEAST_ROWS, SURE, TERMS, COUNTS = range(4, 9), 3, 3.0, 50_000, 200_000
+#: Lengths of the beginnings of words that are learned; toxic rows that a learned term is in at least; its least log odds, and the
+#: standard errors by which they must differ from 0; terms that the driver gets at most, and counts that a worker holds at once.
+BEGINNINGS, LEAST_ROWS, LEAST_ODDS, SURE, TERMS, COUNTS = range(4, 9), 3, 1.5, 3.0, 50_000, 200_000
+#: Weight from which a learned word is a strong one, words whose weights are summed, and words of the shingles that tell near copies.
+STRONG, TOP, SHINGLE = 3.0, 3, 5
 
 # Insults and slurs against a reader, in the languages of the corpus.
 INSULTS = """
@@ -62,7 +66,7 @@ LOOKS = str.maketrans("013457@$!|€", "oieastasiie")
 
 INSULT, THREAT, SECOND, CAPS, LOUD, HIDDEN, LETTER = (1 << k for k in range(7))
 FEATURES = ("log_words", "insults", "log_insults", "kinds", "local", "threats", "near_you", "you", "caps_words", "capitals", "loud", "punctuation", "hidden", "hidden_insults", "spaced", "digits", "signs", "beyond_ascii")
-LEARNED = ("learned", "learned_weight", "log_learned", "learned_kinds", "learned_local", "learned_near_you")
+LEARNED = ("learned", "learned_weight", "log_learned", "learned_kinds", "learned_local", "learned_near_you", "learned_most", "learned_top", "learned_strong", "learned_squares")
 FEATURES += LEARNED
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -160,7 +164,7 @@ def lexicon(terms: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int
     a, b = toxic + 0.5, clean + 0.5
     c, d = n_toxic - toxic + 0.5, n_clean - clean + 0.5
     odds, error = np.log(a / c) - np.log(b / d), np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    keep = np.flatnonzero((toxic >= LEAST_ROWS) & (odds > SURE * error))
+    keep = np.flatnonzero((toxic >= LEAST_ROWS) & (odds > LEAST_ODDS) & (odds > SURE * error))
     return {terms[i]: float(odds[i] - error[i]) for i in keep.tolist()}
 
 
@@ -207,7 +211,9 @@ def features(text: str | None, learned: Lexicon | None = None) -> np.ndarray:
         if found := int(toxic.sum()):
             c, y, at = np.concatenate([[0], np.cumsum(toxic)]), np.concatenate([[0], np.cumsum(you)]), np.flatnonzero(toxic)
             near = y[np.minimum(at + NEAR + 1, n)] - y[np.maximum(at - NEAR, 0)] > 0
-            out[18:] = found / n, w.sum() / n, np.log1p(found), len({words[i] for i in at.tolist()}), (c[np.minimum(at + WINDOW, n)] - c[at]).max(), near.sum() / n
+            kinds = sorted({words[i]: v for i, v in zip(at.tolist(), w[at].tolist(), strict=True)}.values(), reverse=True)
+            out[18:24] = found / n, w.sum() / n, np.log1p(found), len(kinds), (c[np.minimum(at + WINDOW, n)] - c[at]).max(), near.sum() / n
+            out[24:] = kinds[0], sum(kinds[:TOP]), (w >= STRONG).sum() / n, (w**2).sum() / n
     out[15], out[16], out[17] = counts[48:58].sum() / size, counts[[35, 36, 37, 38, 42, 60, 62, 64, 95, 124, 126]].sum() / size, counts[128:].sum() / size
     return out
 
@@ -233,27 +239,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     h = F.xxhash64("i", F.lit(5)).bitwiseAND(F.lit(LARGEST))
-    ids = docs.select(F.col(id_col).alias("i")).distinct().join(known, "i").withColumn("h", h)
+    ids = save(docs.select(F.col(id_col).alias("i")).distinct().join(known, "i").withColumn("h", h), "toxicity-ids")
     # Hashes beyond a few times what is wanted can't be among the least, and aren't sent to the one task that picks.
     least = min(LARGEST, LARGEST * SPARE * sample // max(1, ids.count()))
     drawn = [(r.i, int(r.y > 0)) for r in ids.where(F.col("h") <= least).orderBy("h", "i").limit(sample).collect()]
+    discard(docs.sparkSession, ids)
     y = np.array([v for _, v in drawn], float)
     if len(y) < 2 * FOLDS or y.min() == y.max():
         return Model(None, None, float(y.mean()) if len(y) else 0.0, {})
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     marks = spark.createDataFrame([(i, v, at) for at, (i, v) in enumerate(drawn)], f"i {kind}, y int, at int")
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").groupBy("at", "y").agg(F.min("t").alias("t"))
-    rows = save(rows.repartition(max(1, len(drawn) // 500)), "toxicity-sample")
-    fold = np.arange(len(y)) % FOLDS
-    terms, counts = _counted(rows, y, fold)
+    rows = save(_with_copies(rows.repartition(max(1, len(drawn) // 500))), "toxicity-sample")
+    fold, first = _dealt(rows.select("at", "copies").toPandas().sort_values("at")["copies"].to_numpy(), y)
+    terms, counts = _counted(rows, y, fold, first)
     side = lambda k, v: (counts.sum(axis=1) - (0 if k is None else counts[:, k]))[:, v]
-    weights = lambda k: lexicon(terms, side(k, 1), side(k, 0), int(y[fold != k].sum()), int((1 - y[fold != k]).sum()))
-    sent = spark.sparkContext.broadcast([weights(k) for k in range(FOLDS)])
+    texts = lambda k, v: int((first & (fold != k) & (y == v)).sum())
+    weights = lambda k: lexicon(terms, side(k, 1), side(k, 0), texts(k, 1), texts(k, 0))
+    sent = spark.sparkContext.broadcast(([weights(k) for k in range(FOLDS)], fold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = [Lexicon(w) for w in sent.value]
+        learned, fold = [Lexicon(w) for w in sent.value[0]], sent.value[1]
         for b in slices(batches):
-            x = [features(t.as_py(), learned[at % FOLDS]).tolist() for at, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            x = [features(t.as_py(), learned[fold[at]]).tolist() for at, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["at", "x"])
 
     got = rows.select("at", "t").mapInArrow(run, "at int, x array<double>").toPandas().sort_values("at")
@@ -265,18 +273,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(boost(x, y), isotonic(raw, y), float(y.mean()), weights(None))
 
 
-def _counted(rows: DataFrame, y: np.ndarray, fold: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Terms that some lexicon may take, and the rows that hold them by fold and label."""
+def copies(text: str | None) -> int:
+    """The least hash of a text's shingles, which near copies most likely share."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    return min(xxh64_intdigest(b" ".join(words[i : i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))) >> 1
+
+
+def _with_copies(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([copies(t.as_py()) for t in b.column(2)], pa.int64())], names=["at", "y", "t", "copies"])
+
+    return rows.mapInArrow(run, "at int, y int, t string, copies bigint")
+
+
+def _dealt(copies: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fold of each row, and whether it is the first of its near copies with that label."""
+    fold = copies % FOLDS
+    if any(len(np.unique(y[fold != k])) < 2 for k in range(FOLDS)):
+        fold = np.arange(len(y)) % FOLDS
+    first = np.zeros(len(y), bool)
+    first[np.unique(np.stack([copies, y.astype(np.int64)]), axis=1, return_index=True)[1]] = True
+    return fold, first
+
+
+def _counted(rows: DataFrame, y: np.ndarray, fold: np.ndarray, first: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Terms that some lexicon may take, and the rows that hold them by fold and label; near copies are one row."""
+    sent = rows.sparkSession.sparkContext.broadcast((fold, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        fold, first = sent.value
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([t for t, _ in held], pa.string()), pa.array([c for _, c in held], pa.int32()), pa.array(held.values(), pa.int64())], names=["term", "c", "n"])
 
         for b in slices(batches):
             for at, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                c = at % FOLDS * 2 + v
+                if not first[at]:
+                    continue
+                c = int(fold[at]) * 2 + v
                 held.update({(x, c) for w in {_folded(w) for w in (t.as_py() or "").split()} for x in _terms(w)})
                 if len(held) > COUNTS:
                     yield out()
@@ -285,7 +323,7 @@ def _counted(rows: DataFrame, y: np.ndarray, fold: np.ndarray) -> tuple[list[str
 
     at = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
     toxic, clean = (sum((F.col(f"c{2 * k + v}") for k in range(1, FOLDS)), F.col(f"c{v}")) for v in (1, 0))
-    n = [float(max(1, (y == v).sum())) for v in (0, 1)]
+    n = [float(max(1, (first & (y == v)).sum())) for v in (0, 1)]
     more = (toxic + 0.5) / n[1] - (clean + 0.5) / n[0]
     spread = F.sqrt((toxic + 0.5) / (n[1] * n[1]) + (clean + 0.5) / (n[0] * n[0]))
     summed = rows.select("at", "y", "t").mapInArrow(run, "term string, c int, n bigint").groupBy("term").agg(*at)
