@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docsift.llm import html, language, simhash, toxicity
+from docsift.llm import html, language, simhash, toxicity, trees
 from docsift.llm.trees import boost, isotonic
 
 DATA = "/root/testdata/sf0.01"
@@ -110,6 +110,56 @@ def test_toxic_features():
     assert not toxicity.features("the whorre of thing")[at("insults")] and not toxicity.features(None).any() and not toxicity.features(" \n").any()
 
 
+def test_features_against_plain_counts():
+    rng = random.Random(5)
+    words = toxicity.Lexicon({"zorgl": 4.0, "blar ": 2.0, "quux": 1.0})
+    weigh = lambda w: 4.0 if w.startswith("zorgl") else 2.0 if w == "blar" else 1.0 if w.startswith("quux") else 0.0
+    for _ in range(200):
+        text = [rng.choice(["you", "zorglin", "blar", "blart", "quuxen", "tree", "house", "IDIOT", "moron", "NO"]) for _ in range(rng.randint(1, 80))]
+        n, w = len(text), [weigh(x) for x in text]
+        near = lambda i: any(x == "you" for x in text[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1])
+        hit = [x in ("IDIOT", "moron") for x in text]
+        top = sorted({x: v for x, v in zip(text, w, strict=True) if v}.values(), reverse=True)
+        want = {
+            "insults": sum(hit) / n, "kinds": len({x for x, h in zip(text, hit, strict=True) if h}), "near_you": sum(h and near(i) for i, h in enumerate(hit)) / n, "you": text.count("you") / n,
+            "local": max(sum(hit[i : i + toxicity.WINDOW]) for i in range(n)), "caps_words": sum(x.isupper() for x in text) / n, "learned": sum(v > 0 for v in w) / n, "learned_weight": sum(w) / n, "learned_kinds": len(top),
+            "learned_local": max(sum(v > 0 for v in w[i : i + toxicity.WINDOW]) for i in range(n)), "learned_near_you": sum(v > 0 and near(i) for i, v in enumerate(w)) / n, "learned_most": max(w), "learned_top": sum(top[:3]),
+            "learned_strong": sum(v >= 3 for v in w) / n, "learned_squares": sum(v * v for v in w) / n,
+        }
+        got = dict(zip(toxicity.FEATURES, toxicity.features(" ".join(text), words), strict=True))
+        assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+def test_one_split_against_all_cuts():
+    """The first node of the first tree has the best gain of all features and cuts."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=400) > 7).astype(float)
+    forest = boost(x, y, trees=1)
+    p = y.mean()
+    g, h = y - p, np.full(400, p * (1 - p))
+
+    def gain(f, c):
+        left = x[:, f] <= c
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + trees.SHRINK)
+        return part(left) + part(~left) if min(left.sum(), (~left).sum()) >= trees.LEAST_ROWS else 0.0
+
+    best = max(gain(f, c) for f in range(3) for c in range(12))
+    assert gain(int(forest.feature[0][0]), forest.cut[0][0]) == pytest.approx(best)
+
+
+def test_near_copies_share_a_fold():
+    words = [f"w{i}" for i in range(300)]
+    other = [f"x{i}" for i in range(300)]
+    same = [" ".join(words), " ".join(words).upper(), " ".join(other)]
+    c = np.array([toxicity.copies(t) for t in same])
+    assert c[0] == c[1] != c[2] and toxicity.copies(None) == toxicity.copies(" ")
+    c = np.array([4, 4, 9, 9, 6, 7, 4, 6, 7, 9])
+    fold, first = toxicity._dealt(c, np.array([1, 1, 0, 0, 1, 0, 0, 0, 1, 1]))
+    assert fold.tolist() == [0, 0, 1, 1, 2, 3, 0, 2, 3, 1] and first.tolist() == [True, False, True, False, True, True, True, True, True, True]
+    assert set(toxicity._dealt(np.full(8, 5), np.array([0, 1] * 4))[0].tolist()) == {0, 1, 2, 3}
+
+
 def test_toxicity_of_odd_rows(odd, none, docs, spark):
     labels = spark.createDataFrame([(i, 5, i % 2) for i in range(8)] + [(1, 5, 1), (None, 5, 1), (2, 5, None)], "doc_id long, text int, toxic int")
     for frame, marks in ((odd, labels), (none, labels), (odd, labels.where("false")), (odd, labels.where("toxic = 1"))):
@@ -156,6 +206,38 @@ def test_pages(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+STORY = "<p>A long paragraph of the story stands here, with many words in it.</p>"
+
+
+def test_comments_and_class_words():
+    """Comments go without a class that says so; one class word doesn't lose a paragraph."""
+    said = "<section><h2>Comments</h2><article><p>Nice post by me.</p></article></section>"
+    assert html.main_text(f"<main><article><h1>Big news</h1>{STORY}{said}</article></main>") == "Big news\nA long paragraph of the story stands here, with many words in it."
+    assert html.main_text(f"<article>{STORY}<h3>3 Comments</h3><div><p>I like this story very much, and more so the end of it.</p></div></article>").count("\n") == 0
+    assert "comments" in html.main_text(f"<article>{STORY}<h2>What comments do</h2>{STORY}</article>")
+    assert html.main_text(f"<article>{STORY}<div class='text-related'><p>And this paragraph is content too.</p></div></article>").endswith("\nAnd this paragraph is content too.")
+    assert "Buy" not in html.main_text(f"<article>{STORY}<div class='ad-box'><p>Buy this now, it is very good for you.</p></div>{STORY}</article>")
+
+
+def test_neighbours_decide(monkeypatch):
+    """A linked word alone is content between paragraphs, and isn't without its edges."""
+    page = f"<div>{STORY}<p><a href='x'>Of</a></p>{STORY}</div>"
+    assert html.main_text(page).split("\n")[1] == "Of"
+    monkeypatch.setattr(html, "edges", lambda page: {})
+    assert len(html.main_text(page).split("\n")) == 2
+
+
+def test_regression_against_plain_ascent():
+    rng = np.random.default_rng(4)
+    content, other = rng.integers(0, 9, len(html.PATTERNS)).astype(float), rng.integers(0, 9, len(html.PATTERNS)).astype(float)
+    n, prior, w = content + other, np.array(html.PRIOR), np.zeros(len(html.PRIOR))
+    scale = min(1.0, html.WEIGH / n.sum())
+    for _ in range(20_000):
+        w += 2e-4 * (html.PATTERNS.T @ (scale * (content - n / (1 + np.exp(-html.PATTERNS @ w)))) - html.HOLD * (w - prior))
+    assert np.allclose(html.regression(content, other), w, atol=1e-4)
+    assert html.regression(np.zeros(len(html.PATTERNS)), np.zeros(len(html.PATTERNS))) == html.PRIOR
+
+
 def test_query_9(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in html.op9_html(spark, DATA).collect():
