@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from docsift.functions.stem import stem
 
 SIMPLE, UNICODE, PORTER = "simple", "unicode61", "porter_unicode61"
-_TERMS = "array<struct<term:string,positions:array<int>>>"
 
 
 def content_hash(col) -> Column:
@@ -99,20 +98,24 @@ def token_column(col, analyzer: str = SIMPLE) -> Column:
     return split(text)
 
 
-def term_positions(col, analyzer: str) -> Column:
-    """Distinct terms of a column, each with its places: what a posting needs, made inside one row."""
+def term_places(words: Column) -> Column:
+    """Distinct terms of an array of tokens, each with its places: sorted inside the row, then cut into runs."""
 
-    @F.pandas_udf(_TERMS)
-    def index(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> list[dict]:
-            at: dict[str, list[int]] = {}
-            for i, t in enumerate(analyze(text, analyzer)):
-                at.setdefault(t, []).append(i)
-            return [{"term": t, "positions": p} for t, p in at.items()]
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once, however often it is named."""
+        return F.get(F.transform(F.array(value), use), 0)
 
-        return texts.map(one)
+    def runs(pairs: Column) -> Column:
+        term = lambda k: F.get(pairs, k)["term"]
+        starts = F.filter(F.transform(pairs, lambda _, k: k), lambda k: (k == 0) | (term(k - 1) != term(k)))
 
-    return index(F.coalesce(col if isinstance(col, Column) else F.col(col), F.lit("")))
+        def cut(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(pairs))
+            return F.transform(at, lambda a, j: F.struct(term(a).alias("term"), F.transform(F.slice(pairs, a + 1, end(j) - a), lambda x: x["at"]).alias("positions")))
+
+        return bound(starts, cut)
+
+    return bound(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))), runs)
 
 
 # --- snippets

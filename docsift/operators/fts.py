@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.query import Clause
-from docsift.functions.text import term_positions, token_column
+from docsift.functions.text import term_places, token_column
 
 # BM25's parameters, the least idf, and the weights of path, title and body.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -50,9 +50,9 @@ def scan(corpus: DataFrame, clauses: Sequence[Clause], fields: Sequence[str], an
 
 
 def postings(corpus: DataFrame, fields: Sequence[str], keys: Sequence[str], analyzer: str) -> DataFrame:
-    """``term, *keys, field, positions``, in ranges of the term so that a filter on it reads few row groups."""
-    each = F.array(*[F.struct(F.lit(i).alias("field"), term_positions(f, analyzer).alias("terms")) for i, f in enumerate(fields)])
-    rows = corpus.select(*keys, F.explode(each).alias("f")).select(*keys, F.col("f.field").alias("field"), F.explode("f.terms").alias("t"))
+    """``term, *keys, field, positions`` of each distinct term of a field, made inside the row."""
+    each = F.array(*[F.struct(F.lit(i).alias("field"), token_column(f, analyzer).alias("words")) for i, f in enumerate(fields)])
+    rows = corpus.select(*keys, F.explode(each).alias("f")).select(*keys, F.col("f.field").alias("field"), F.explode(term_places(F.col("f.words"))).alias("t"))
     return rows.select(F.col("t.term").alias("term"), *keys, "field", F.col("t.positions").alias("positions"))
 
 
@@ -85,10 +85,10 @@ def lookup(index: DataFrame, clauses: Sequence[Clause], keys: Sequence[str], wei
     return by_field.groupBy(*keys).agg(*[F.sum(f"tf{i}").alias(f"tf{i}") for i in range(len(clauses))])
 
 
-def matches(clauses: Sequence[Clause]) -> Column:
+def matches(clauses: Sequence[Clause], at: Sequence[int] | None = None) -> Column:
     """All positive clauses and no negated one."""
     out = F.lit(True)
-    for i, c in enumerate(clauses):
+    for i, c in zip(range(len(clauses)) if at is None else at, clauses, strict=True):
         out = out & ((F.col(f"tf{i}") == 0) if c.negated else (F.col(f"tf{i}") > 0))
     return out
 
@@ -98,11 +98,14 @@ def statistics(counted: DataFrame, clauses: Sequence[Clause]) -> DataFrame:
     return counted.agg(F.count("*").alias("n_docs"), F.sum(F.col("dl").cast("long")).alias("total"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(clauses))])
 
 
-def bm25(clauses: Sequence[Clause]) -> Column:
-    """The score, larger is better, over columns ``tfI, dl, n_docs, total, dfI``; a repeated clause adds again."""
+def bm25(clauses: Sequence[Clause], at: Sequence[int] | None = None) -> Column:
+    """The score, larger is better, over columns ``tfI, dl, n_docs, total, dfI``; a repeated clause adds again.
+
+    ``at`` holds the column number of each clause, if that isn't its place. An empty corpus has no mean length, and no scores.
+    """
     score = F.lit(0.0)
-    mean = F.col("total") / F.col("n_docs")
-    for i, c in enumerate(clauses):
+    mean = F.col("total") / F.greatest(F.col("n_docs"), F.lit(1))
+    for i, c in zip(range(len(clauses)) if at is None else at, clauses, strict=True):
         if not c.negated:
             idf = F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
             tf = F.col(f"tf{i}")
@@ -113,6 +116,8 @@ def bm25(clauses: Sequence[Clause]) -> Column:
 def ranked(counted: DataFrame, stats: DataFrame, clauses: Sequence[Clause], limit: int | None, ties: Sequence[str]) -> DataFrame:
     """Matching rows with ``score`` in [0, 1), best first, at most ``limit``; equal scores in the order of ``ties``."""
     numbers = stats.first().asDict()  # one row, which becomes constants of the plan
+    if not numbers["n_docs"]:
+        counted = counted.where("false")
     hits = counted.where(matches(clauses)).withColumns({k: F.lit(v or 0) for k, v in numbers.items()})
     scored = hits.withColumn("score", normalize_bm25(bm25(clauses))).drop(*numbers)
     ordered = scored.orderBy(F.desc("score"), *ties)
@@ -124,3 +129,22 @@ def search(corpus: DataFrame, clauses: Sequence[Clause], fields: Sequence[str],
     counted = scan(corpus, clauses, fields, analyzer, weights)
     shown = counted if where is None else counted.where(where)
     return ranked(shown, statistics(counted, clauses), clauses, limit, ties)
+
+
+def search_lists(corpus: DataFrame, lists: Sequence[Sequence[Clause]], fields: Sequence[str], analyzer: str, limit: int, ties: Sequence[str], weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Several searches in the two passes of one: every clause is counted once, and a row scored for all lists.
+
+    The best ``limit`` rows of each list, with ``list_id`` (its place), ``score`` and ``rank`` (from 0); each task keeps ``limit``
+    rows a list before any row is moved.
+    """
+    distinct = list(dict.fromkeys(c for clauses in lists for c in clauses))
+    counted = scan(corpus, distinct, fields, analyzer, weights)
+    numbers = statistics(counted, distinct).first().asDict()
+    rows = counted.withColumns({k: F.lit(v or 0) for k, v in numbers.items()})
+    scores = []
+    for i, clauses in enumerate(lists):
+        at = [distinct.index(c) for c in clauses]
+        scores.append(F.when(matches(clauses, at), F.struct(F.lit(i).alias("list_id"), normalize_bm25(bm25(clauses, at)).alias("score"))))
+    found = rows.select(*corpus.columns, F.explode(F.filter(F.array(*scores), lambda x: x.isNotNull())).alias("_l")).select(*corpus.columns, "_l.*")
+    order = Window.partitionBy("list_id").orderBy(F.desc("score"), *ties)
+    return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)

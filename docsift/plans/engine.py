@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docsift.errors import CollectionExistsError, ConfigError, EmbeddingError, NotFoundError
 from docsift.functions.chunk import Chunker, chunk_column
 from docsift.functions.query import Query, QueryType, clauses_for, expand_simple
-from docsift.functions.text import PORTER, analyze, snippet_column, term_positions
+from docsift.functions.text import PORTER, analyze, snippet_column, token_column
 from docsift.operators import fts, fuse, maintain, vector
 from docsift.plans.store import Store
 from docsift.schema import RESULT, Collection, CollectionInfo, Document, EmbedResult, IndexStatus, UpdateResult
@@ -28,10 +28,15 @@ MODEL = "default"
 
 
 class Engine:
-    """``root`` is a directory that Spark can write. Results are DataFrames of schema.RESULT unless said otherwise."""
+    """``root`` is a directory that Spark can write; only a local master may go without, with a temporary folder.
+
+    Results are DataFrames of schema.RESULT unless said otherwise.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, analyzer: str = PORTER, embedder: vector.Embedder | None = None, reranker: fuse.Reranker | None = None, chunker: Chunker | None = None):
         self.spark, self.analyzer = spark, analyzer
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("name a folder that the driver and all executors share")
         self.store = Store(spark, root or tempfile.mkdtemp(prefix="docsift-"))
         self.embedder, self.reranker, self.chunker = embedder or vector.HashingEmbedder(), reranker, chunker or Chunker()
 
@@ -115,7 +120,7 @@ class Engine:
         named = docs.withColumn("filepath", F.concat_ws("/", "collection", "path"))
         terms = fts.postings(named, FIELDS, ("collection", "path", "revision"), self.analyzer)
         self.store.append("postings", terms, sort=("term",))
-        size = sum((F.aggregate(term_positions(f, self.analyzer), F.lit(0), lambda s, t: s + F.size(t["positions"])) for f in FIELDS), F.lit(0))
+        size = sum((F.size(token_column(f, self.analyzer)) for f in FIELDS), F.lit(0))
         return named.withColumn("doc_tokens", size).drop("filepath")
 
     def update(self, names: Sequence[str] | None = None) -> UpdateResult:
