@@ -2,6 +2,12 @@
 
 Nothing is gathered on the driver but two numbers a round. Each round's edges are written to the shared folder, so lineage
 stays short and lost executors cost one stage. Rounds grow with the logarithm of the longest path.
+
+A hub's edges never meet in one task: keys of many rows get what is known of them by broadcast (see ``by_key``), the others by
+shuffle, and least neighbours are aggregated before they are shuffled.
+
+Defined results: edges with a null end and loops are left out; repeated edges count once; no edges give no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -11,17 +17,32 @@ from pyspark.sql import functions as F
 
 from docsift.llm.shared import discard, save
 
+#: Keys that may be broadcast, 24 bytes each, and the rows of a key up to which a shuffle is as good.
+BROADCAST_KEYS, FEW = 200_000, 1024
+
+
+def by_key(rows: DataFrame, known: DataFrame, key: str, n_rows: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Inner join of rows with one known row a key; ``known`` says in ``n`` how many rows have the key, or more.
+
+    Of ``n_rows`` rows at most ``n_rows / least`` keys can have over ``least`` each, so those keys are within the bound of a
+    broadcast whatever the data; their rows stay where they are. Rows of all other keys are shuffled, in groups of ``least`` at most.
+    """
+    least = max(FEW, -(-n_rows // broadcast_keys))
+    hot = F.broadcast(known.where(F.col("n") > least).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col("n") <= least).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    return by_key(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hung = by_key(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,7 +52,7 @@ def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
     now = save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = _mark(now)
     while seen[0]:
-        after = save(_small_star(_large_star(now)), name)
+        after = save(_small_star(_large_star(now, seen[0]), seen[0]), name)
         mark = _mark(after)
         discard(spark, now)
         now = after

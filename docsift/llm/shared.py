@@ -32,20 +32,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and a lost executor costs no rerun."""
+    """Write a table to the shared folder and read it back: lineage ends here, and a lost executor costs no rerun.
+
+    discard() deletes it; what is still read when a query returns goes when the driver ends.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    until_the_end(spark, path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._saved_at = path
     return kept
 
 
+def _located(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def until_the_end(spark: SparkSession, path: str) -> None:
+    """A folder of working data, which goes at the latest when the driver's JVM ends."""
+    system, p = _located(spark, path)
+    system.deleteOnExit(p)
+
+
 def discard(spark: SparkSession, df: DataFrame | str) -> None:
     """Delete a table that save() wrote, once nothing reads it any more."""
     path = df if isinstance(df, str) else getattr(df, "_saved_at", None)
     if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        system, p = _located(spark, path)
+        system.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.components import stars
-from docsift.llm.shared import save, slices, table
+from docsift.llm.components import BROADCAST_KEYS, by_key, stars
+from docsift.llm.shared import discard, save, slices, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -34,8 +34,6 @@ SEED = 42
 LIMIT, MEAN = 2048, 64
 #: Times that an oversized bucket is dealt again by wider masks before it is compared block against block.
 LEVELS = 3
-#: Hot bucket keys that may be broadcast (24 bytes each); more are joined by shuffle.
-BROADCAST_KEYS = 200_000
 FULL = (1 << 64) - 1
 
 
@@ -211,14 +209,19 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield edges(np.concatenate(held, axis=1))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """Edges ``u, v`` that join all fingerprints within the radius: in each bucket every member to the first it reaches."""
+def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, scratch: list | None = None) -> DataFrame:
+    """Edges ``u, v`` that join all fingerprints within the radius: in each bucket every member to the first it reaches.
+
+    Tables that are of no use once the edges have been read are added to ``scratch``.
+    """
+    scratch = [] if scratch is None else scratch
     first = masks(nodes.count(), radius)
     dealt, tree = _deal(nodes, None, first), first
     parts = []
     for level in range(LEVELS + 1):
         sizes = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
         hot = save(sizes, "hot-buckets")
+        scratch.append(hot)
         n_hot = hot.count()
         if not n_hot:
             parts.append(dealt.withColumn("pair", F.lit(0).cast("long")))
@@ -229,6 +232,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         if level < LEVELS:
             by_mask = {m: wider(m, radius) for m in tree}
             dealt = save(_deal(over.select("fp", "mask"), by_mask, []), "wider")
+            scratch.append(dealt)
             tree = [w for ws in by_mask.values() for w in ws]
             continue
         blocks = F.ceil(F.col("n") / F.lit(limit // 2)).cast("long")
@@ -245,12 +249,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id`` for every row."""
     fps = save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = stars(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    scratch: list[DataFrame] = []
+    found = stars(links(nodes.select("fp"), radius, scratch=scratch)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    for t in scratch:
+        discard(docs.sparkSession, t)
+    rooted = save(nodes.join(found, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+    discard(docs.sparkSession, nodes)
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = by_key(rooted, ids, "root", n_nodes).select("fp", "component_id", F.col("rows").alias("n"))
+    return by_key(fps, by_fp, "fp", n_rows).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -262,6 +271,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     found = save(components(docs, id_col, text_col, radius, shingle).where("doc_id is not null"), "groups")
     gone = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     twice = save(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
+    discard(docs.sparkSession, found)
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
     same = F.col(id_col) == F.col("_id")
     kept = docs.join(few(gone), same, "left_anti")
