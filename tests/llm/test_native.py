@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from docsift.llm import chat, quality
@@ -89,3 +92,75 @@ def test_wrapped_quotes(spark):
     paragraph = "> Another paragraph here, with\n> no stop at all\nI see."
     rows = {r.turn: r for r in chat.link(spark.createDataFrame([(1, 0, said), (1, 1, wrapped), (1, 2, paragraph)], "conv_id long, turn long, text string")).collect()}
     assert (rows[1].reply_to, rows[1].n_linked, rows[1].text) == (0, 2, "Yes.") and (rows[2].reply_to, rows[2].text) == (0, "I see.")
+
+
+def plain_links(talk):
+    """(turn, text, reply_to, n_linked) of one conversation, message by message."""
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+
+    def units(text):
+        paragraphs = re.split(r"\n\s*\n", text)
+        out = [text, *paragraphs, *(x for p in paragraphs for x in re.split(r"[.!?…]+(?:\s+|$)", p)), *re.split(r"[.!?…]+(?:\s+|$)|\n", text)]
+        return {norm(x) for x in out} - {""}
+
+    level = lambda line: re.match(r"[ \t]*((?:>[ \t]?)*)", line)[1].count(">")
+    said, out = [], []
+    for turn, text in talk:
+        lines, own, passages = text.split("\n"), [], []
+        for k, x in enumerate(lines):
+            after = level(lines[k + 1]) if k + 1 < len(lines) else 0
+            if level(x):
+                body = re.sub(r"^[ \t]*(?:>[ \t]?)+", "", x)
+                if k and level(lines[k - 1]) == level(x):
+                    passages[-1][1].append(body)
+                else:
+                    passages.append((level(x), [body]))
+            elif not (after and re.fullmatch(r"On .+ wrote:", x)):
+                own.append(x)
+        votes, n = {}, 0
+        for lv in {p[0] for p in passages}:
+            for u in set().union(*(units("\n".join(b)) for v, b in passages if v == lv)):
+                origins = [t for t, us in said if u in us]
+                if origins:
+                    n += 1
+                    votes.setdefault(lv, []).append(max(origins))
+        outer = votes[min(votes)] if votes else []
+        reply = max(set(outer), key=lambda t: (outer.count(t), t)) if outer else None
+        out.append((turn, "\n".join(own), reply, n))
+        said.append((turn, units("\n".join(own))))
+    return out
+
+
+def test_links_against_plain_version(spark):
+    rng = random.Random(7)
+    words = "tree house road small green they went home again".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(2, 4))) + rng.choice(".!?")
+    rows, want = [], []
+    for conv in range(12):
+        talk = []
+        for turn in range(15):
+            parts = []
+            if talk and rng.random() < 0.7:
+                quoted = rng.choice(talk)[1].split("\n")
+                a = rng.randrange(len(quoted))
+                quoted = quoted[a : a + rng.randint(1, 3)]
+                parts = [*["On Monday somebody wrote:"] * (rng.random() < 0.5), *("> " + x if not x.startswith(">") else ">" + x for x in quoted)]
+            parts += ["", *(sentence() for _ in range(rng.randint(1, 3)))]
+            talk.append((turn, "\n".join(parts)))
+        rows += [(conv, *t) for t in talk]
+        want += [(conv, *t) for t in plain_links(talk)]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert sorted(((r.conv_id, r.turn, r.text, r.reply_to, r.n_linked) for r in got), key=lambda x: x[:2]) == want
+
+
+def test_announcements(spark):
+    """However long, and over two lines; a line like it that no quote follows stays."""
+    long_ = "On " + "a very long date " * 40 + "A wrote:"
+    texts = [f"{long_}\n> x y\nyes", "On Monday, the first of May,\nsomebody <a@b> wrote:\n> x y\nyes", "    > x y\nyes", "On Monday A wrote:\nyes", "x" * 200_000 + "\n> x y"]
+    got = {r.turn: r.text for r in chat.link(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")).collect()}
+    assert got == {0: "yes", 1: "yes", 2: "yes", 3: texts[3], 4: "x" * 200_000}
+
+
+def test_ablations_of_nothing(spark):
+    assert {(r.n_failed, r.n_only_this) for r in quality.ablations(spark.createDataFrame([], "fail_bits long"), "base").collect()} <= {(0, 0)}
+    assert {r.rule: r.n_failed for r in quality.ablations(spark.createDataFrame([(None,), (1,)], "fail_bits long"), "base").collect()} == {"too_few_words": 1, "repeated_windows": 0}
