@@ -2,20 +2,28 @@
 
 Names in hosts are often words run together. Each label is split by a unigram Viterbi search: known words cost their negative
 log frequency, other pieces a start-up cost and a cost a letter, so a name made of known words falls apart and another stays
-whole. The frequencies are those of the dictionary's words among all delimited words of all urls. The words found in host and
-path are scored by multinomial naive Bayes, trained on the labelled word lists below; words outside them say nothing.
+whole. The frequencies are those of the dictionary's words among all delimited words of all urls.
+
+The words found in host and path are scored by multinomial naive Bayes. No table labels urls, so the two word lists below do: a url
+with more words of the blocked list than of the other is a training row of block, and every other url is taken for one of allow. All
+words of a row are counted for its class, and the words of a list share so many times that class's count besides: the same share in
+both classes, SEED or what it takes for each to count once. So what stands beside listed words is learned too, and a word that is as
+common everywhere says little. The counts come from a bounded sample of
+urls; words outside them say nothing. Verdicts of rules are no training rows: they tell places and not words.
 
 Rules are ``host/path`` with an action; a rule fits its host and all subdomains if the url's path starts with the rule's path. Of
 those that fit, the longest decides, of equal ones the first in code-point order.
 
 Defined results: null or no ``://`` gives empty host and path, no rule and the verdict ``allow``; an even score is ``allow``;
-repeated rows each get a row; columns other than id and url are not read.
+names of any length are split as a whole; an empty table is judged by the lists alone; repeated rows each get a row; columns other
+than id and url are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +34,7 @@ from pyspark.sql import types as T
 from docsift.llm.shared import slices, table
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Rules become one expression; longer lists belong in a table.
+#: Rules become one expression; more than so many (a parameter of rule_of) are refused, as they belong in a table.
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,12 +53,17 @@ free shop store home page media video radio film theatre world daily times post
 """.split()
 # Words that only help to split names.
 OTHER = "the and of for in on at to my your our best top new online web site net live play game games now get buy sell great first one big real all day night house car land green blue red black white hot super mega club zone hub center group team world".split()
-ALPHA = 0.5
+#: Smoothing of counts, and what the words of a list count more in their class at least, as a share of all its counts.
+ALPHA, SEED = 0.05, 0.2
+#: Urls that naive Bayes is trained on, about, those of the least hash; times that a word is counted at least; words that the driver
+#: gets at most; counts that a worker holds at once.
+SAMPLE, LEAST, WORDS, COUNTS = 500_000, 5, 50_000, 200_000
 #: Cost of a piece that isn't a known word: for itself and for each letter.
 UNKNOWN, LETTER = 9.0, 1.9
 LONGEST = 24
 KEPT = 200_000
 
+_BLOCKED, _ALLOWED = frozenset(BLOCKED), frozenset(ALLOWED)
 _DELIMITED = re.compile(r"[a-z]+")
 
 
@@ -65,10 +78,10 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(after, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
+def rule_of(host: Column, path: Column, rules: dict[str, str], max_rules: int = MAX_RULES) -> Column:
     """The deciding rule as written, or null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    if len(rules) > max_rules:
+        raise ValueError(f"more than {max_rules} rules")
     out = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: (-len(r), r), reverse=True):
         name, slash, rest = rule.partition("/")
@@ -84,14 +97,23 @@ def frequencies(urls: DataFrame, url_col: str = "url") -> dict[str, int]:
 
 
 class Judge:
-    """Splits names and scores words."""
+    """Splits names and scores words.
+
+    ``counts``: times that rows of block and of allow hold a word; ``rows``: rows of the two classes.
+    """
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, frequency: dict[str, int], counts: dict[str, tuple[int, int]] | None = None, rows: tuple[int, int] = (0, 0)):
         words = dictionary()
-        total = sum(counts.get(w, 0) + 1 for w in words)
-        self.cost = {w: -math.log((counts.get(w, 0) + 1) / total) for w in words}
-        n_b, n_a, size = len(BLOCKED), len(ALLOWED), len({*BLOCKED, *ALLOWED})
-        self.odds = {w: math.log((BLOCKED.count(w) + ALPHA) / (n_b + ALPHA * size)) - math.log((ALLOWED.count(w) + ALPHA) / (n_a + ALPHA * size)) for w in {*BLOCKED, *ALLOWED}}
+        total = sum(frequency.get(w, 0) + 1 for w in words)
+        self.cost = {w: -math.log((frequency.get(w, 0) + 1) / total) for w in words}
+        counts = counts or {}
+        sizes = [max(1, sum(n[c] for n in counts.values())) for c in (0, 1)]
+        share = max(SEED, len(_BLOCKED) / sizes[0], len(_ALLOWED) / sizes[1])
+        more = [share * n / len(own) for n, own in zip(sizes, (_BLOCKED, _ALLOWED), strict=True)]
+        seen = {w: [counts.get(w, (0, 0))[c] + more[c] * (w in own) for c, own in enumerate((_BLOCKED, _ALLOWED))] for w in {*counts, *_BLOCKED, *_ALLOWED}}
+        sums = [sum(v[c] for v in seen.values()) + ALPHA * len(seen) for c in (0, 1)]
+        self.odds = {w: math.log((v[0] + ALPHA) / sums[0]) - math.log((v[1] + ALPHA) / sums[1]) for w, v in seen.items()}
+        self.prior = math.log((rows[0] + 1) / (rows[1] + 1))
         self.kept: dict[str, tuple[str, ...]] = {}
 
     def segment(self, name: str) -> tuple[str, ...]:
@@ -99,12 +121,11 @@ class Judge:
         if (got := self.kept.get(name)) is not None:
             return got
         best: list[tuple[float, int]] = [(0.0, 0)]
-        start = [UNKNOWN]  # cost before i, plus what an unknown piece from i on starts with
+        piece = (UNKNOWN, 0)  # the cheapest start of an unknown piece, its letters before the start taken off
         for j in range(1, len(name) + 1):
             known = min(((best[i][0] + self.cost[name[i:j]], i) for i in range(max(0, j - LONGEST), j) if name[i:j] in self.cost), default=(math.inf, 0))
-            piece = min((start[i] + LETTER * (j - i), i) for i in range(max(0, j - 2 * LONGEST), j))
-            best.append(min(known, piece))
-            start.append(best[j][0] + UNKNOWN)
+            best.append(min(known, (piece[0] + LETTER * j, piece[1])))
+            piece = min(piece, (best[j][0] + UNKNOWN - LETTER * j, j))
         out, j = [], len(name)
         while j:
             i = best[j][1]
@@ -119,16 +140,54 @@ class Judge:
         return [w for run in _DELIMITED.findall(f"{host} {path.lower()}") for w in self.segment(run)]
 
     def score(self, host: str, path: str) -> float:
-        """Log-odds of block."""
-        return sum(self.odds.get(w, 0.0) for w in self.words(host, path))
+        """Log-odds of block; without a word that says anything they are even."""
+        odds = [self.odds[w] for w in self.words(host, path) if w in self.odds]
+        return self.prior + sum(odds) if odds else 0.0
+
+
+def label(words: list[str]) -> int:
+    """The class that the lists give a url: 0 block, 1 allow."""
+    return int(sum((w in _BLOCKED) - (w in _ALLOWED) for w in words) <= 0)
+
+
+def fit(pages: DataFrame, url_col: str = "url", sample: int = SAMPLE) -> Judge:
+    """Splits and counts about ``sample`` urls, those of the least hash, on the executors."""
+    frequency = frequencies(pages, url_col)
+    host, path = split_url(F.col(url_col))
+    h = F.pmod(F.xxhash64(url_col, F.lit(3)), F.lit(1 << 30))
+    bound = min(1 << 30, (1 << 30) * sample // max(1, pages.count()))
+    sent = pages.sparkSession.sparkContext.broadcast(Judge(frequency))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, held = sent.value, Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.string()), pa.array([c for _, c in held], pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "c", "n"])
+
+        for b in slices(batches):
+            for host, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = judge.words(host, path)
+                c = label(words)
+                held.update((w, c) for w in ["", *words])  # the empty word counts rows
+            if len(held) > COUNTS:
+                yield out()
+                held.clear()
+        yield out()
+
+    counted = pages.where(h < bound).select(host.alias("host"), path.alias("path")).mapInArrow(run, "word string, c int, n bigint")
+    by_class = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    summed = counted.groupBy("word").agg(*by_class).where((F.col("n0") + F.col("n1") >= LEAST) | (F.col("word") == ""))
+    found = {r.word: (r.n0, r.n1) for r in summed.orderBy(F.desc(F.col("word") == ""), F.desc(F.col("n0") + F.col("n1")), "word").limit(WORDS).collect()}
+    rows = found.pop("", (0, 0))
+    return Judge(frequency, found, rows)
 
 
 def judged(pages: DataFrame, rules: dict[str, str] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, log_odds``; two narrow passes, no shuffle of urls."""
+    """``page_id, host, path, rule, verdict, log_odds``; three passes over the urls alone, no shuffle of them."""
     rules = RULES if rules is None else rules
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    sent = pages.sparkSession.sparkContext.broadcast(Judge(frequencies(pages, url_col)))
+    sent = pages.sparkSession.sparkContext.broadcast(fit(pages, url_col))
     schema = T.StructType([*rows.schema.fields, T.StructField("log_odds", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -99,6 +100,38 @@ def test_viterbi_against_all_splits(name):
     assert "".join(parts) == name and cost == pytest.approx(best_split(judge, name))
 
 
+def test_long_names_are_split_as_short_ones():
+    """The cost of an unknown piece, and so the split, doesn't change with its length."""
+    judge = urls.Judge({"casino": 5, "ads": 9})
+    for n in (23, 83, 200, 5000):
+        assert judge.segment("q" * n + "casino") == ("q" * n, "casino") and judge.segment("q" * n) == ("q" * n,)
+        assert (len(judge.segment("q" * n + "ads")) == 2) == (len(judge.segment("q" * 83 + "ads")) == 2)
+
+
+def test_bayes_against_plain_counts(spark):
+    """Counts of whole rows, the lists' share, smoothing and prior, by hand."""
+    said = [f"http://{h}.net/{p}" for h, p in [("casino-farm", "en"), ("casino-win", "en"), ("spam-farm", "fr"), ("blog-tree", "en"), ("tree", "en"), ("news", "en/farm"), ("house", "fr"), ("tree-house", "")] for _ in range(6)]
+    judge = urls.fit(spark.createDataFrame([(u,) for u in [*said, None]], "url string"))
+    counts, rows = {}, [0, 0]
+    for u in said:
+        words = re.findall("[a-z]+", u[7:].lower())
+        c = 0 if sum((w in urls.BLOCKED) - (w in urls.ALLOWED) for w in words) > 0 else 1
+        rows[c] += 1
+        for w in words:
+            counts.setdefault(w, [0, 0])[c] += 1
+    rows[1] += 1  # the null url
+    sides = [{*urls.BLOCKED}, {*urls.ALLOWED}]
+    vocabulary = {*counts, *sides[0], *sides[1]}
+    sizes = [sum(n[c] for n in counts.values()) for c in (0, 1)]
+    more = [max(urls.SEED, *(len(sides[k]) / sizes[k] for k in (0, 1))) * sizes[c] / len(sides[c]) for c in (0, 1)]
+    weight = lambda w, c: counts.get(w, [0, 0])[c] + more[c] * (w in sides[c]) + urls.ALPHA
+    total = [sum(weight(w, c) for w in vocabulary) for c in (0, 1)]
+    odds = {w: math.log(weight(w, 0) / total[0]) - math.log(weight(w, 1) / total[1]) for w in vocabulary}
+    assert judge.odds == pytest.approx(odds) and judge.prior == pytest.approx(math.log((rows[0] + 1) / (rows[1] + 1)))
+    assert len({round(x, 6) for x in odds.values()}) > 3 and judge.score("casino-farm.net", "") > 0 > judge.score("tree.net", "/en")
+    assert judge.score("casino-farm.net", "") == pytest.approx(judge.prior + odds["casino"] + odds["farm"] + odds["net"])
+
+
 def test_query_2(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     rows = urls.op2_urls(spark, DATA).collect()
