@@ -2,11 +2,16 @@
 
 Both vocabularies used here cut a text before every merge, and never across a single white-space character between two other
 characters. So a text is split there, each distinct piece is encoded once by the library, and a text's ids are its pieces' ids
-in order. Pieces with runs of white space are never split. The strings of special tokens are ordinary text.
+in order. Pieces with runs of white space are never split. A text that holds the string of a special token, in any case, goes
+to the library as a whole, which gives it that token's id.
+
+Defined results: an empty text has no ids; texts of any length are encoded whole; words beyond the bound of the kept tables are
+encoded anew.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -54,7 +59,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special, self.lead = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I), re.match(r"[^a-zA-Z]*", os.path.commonprefix(special))[0]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.letters = _byte_letters()
@@ -95,6 +101,8 @@ class Encoder:
         return self._library(" " + piece) if got is None else got
 
     def encode(self, text: str) -> bytes:
+        if self.lead in text and self.special.search(text):
+            return self._library(text)
         if self.drops_white:
             if _ODD.search(text):
                 return self._library(text)

@@ -12,9 +12,10 @@ A folder holds ``part-NNNNNN.tokens`` files in ascending order of document id. A
 So any zstandard decoder reads a file from the front, and a reader that wants some documents reads the end of a file and
 decompresses only the frames that can hold them.
 
-Tokens are made once, in the scan's stage; only ids are shuffled, to ranges of the document id found beforehand from that
-column alone. A document id that fills several ranges is spread over all of them. A task writes its file under a name of its
-own and renames it at the end, so a lost or repeated task leaves the same file.
+Tokens are made once, in the scan's stage; only ids are shuffled, to ranges of the document id found beforehand from a random
+sample of that column alone (ranges decide which file a document is in, never what is written). A document id that fills several
+ranges is spread over all of them. All files are written by one job, a task a file, under a name of its own that is changed at the
+end, so a lost or repeated task leaves the same file. The driver gets four numbers a file.
 
 Defined results: null text is an empty document of the end id alone; null document ids come first; repeated ids stand in the
 order of their ids' bytes within a range; an empty table writes no file; columns other than id and text are not read.
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.encoding import encoder
-from docsift.llm.shared import fresh_path, slices, table
+from docsift.llm.shared import fresh_path, slices, table, until_the_end
 
 END_ID = 1
 FRAME_BYTES = 1 << 20
 #: Bytes of text for each file, and the number of files beyond which files grow instead.
 FILE_BYTES, MAX_FILES = 64 << 20, 100_000
+#: Ids sampled for each file's range, and in all at least.
+IDS_A_FILE, LEAST_IDS = 20, 20_000
 LEVEL = 3
 # Fixed values of the seekable zstandard format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -147,13 +150,22 @@ class Reader:
             before += tokens
 
 
+def _bounds(rows: DataFrame, n: int, count: int) -> np.ndarray:
+    """Ids that part the rows into n ranges of about one size."""
+    if n == 1 or not count:
+        return np.zeros(0, np.int64)
+    ids = rows.where("doc_id is not null").select("doc_id")
+    share = max(IDS_A_FILE * n, LEAST_IDS) / count
+    ids = np.sort((ids.sample(share, 1) if share < 1 else ids).toPandas()["doc_id"].to_numpy(np.int64))
+    return ids[np.arange(1, n) * len(ids) // n] if len(ids) else ids
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> list[dict]:
     """Writes the folder and returns its manifest, one entry a file: ``part, docs, tokens, path``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(MAX_FILES, -(-size // file_bytes)))
-    cuts = (rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []) if n > 1 else []
-    bounds = np.array(cuts, np.int64)
+    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+    n = max(1, min(MAX_FILES, -(-(size or 0) // file_bytes)))
+    bounds = _bounds(rows, n, count)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -196,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     system, folder = _at(path)
     system.create_dir(folder, recursive=True)
     sent = rows.mapInArrow(encode, "part int, doc_id bigint, ids binary").repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    manifest = sorted((r.asDict() for r in sent.mapInArrow(save, "part int, docs bigint, tokens bigint, path string").toLocalIterator()), key=lambda x: x["part"])
+    manifest = sorted((r.asDict() for r in sent.mapInArrow(save, "part int, docs bigint, tokens bigint, path string").collect()), key=lambda x: x["part"])
     with system.open_output_stream(f"{folder}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
     return manifest
@@ -234,5 +246,7 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    manifest = write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), fresh_path(spark, "tokens"))
+    folder = fresh_path(spark, "tokens")
+    manifest = write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), folder)
+    until_the_end(spark, folder)
     return read(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

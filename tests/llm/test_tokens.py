@@ -17,8 +17,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # as it is: strings of special tokens give their ids
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
@@ -31,6 +30,13 @@ def test_pieces_give_the_library_ids(path):
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == whole(text).tolist(), repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_strings_of_special_tokens(path):
+    e, whole = Encoder(path), plain(path)
+    for text in ("a <|endoftext|> b", "<|ENDOFTEXT|>x", "a<|startoftext|>b\n<|endoftext|>", "<|end", "<|endoftext|>", "words before " * 50 + "<|endoftext|> it's"):
+        assert np.frombuffer(e.encode(text), e.dtype).tolist() == whole(text).tolist(), text
+
+
 def test_kept_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr("docsift.llm.encoding.KEPT", 10)
     e = Encoder(BYTE)
@@ -77,6 +83,13 @@ def test_packing(odd, none):
     assert packing.pieces(none, BYTE).count() == 0
 
 
+def test_buckets(spark, odd, tmp_path):
+    packing.write_buckets(packing.pieces(odd, BYTE), f"file://{tmp_path}/b")
+    back = spark.read.parquet(f"file://{tmp_path}/b")
+    assert back.where("length <> shiftleft(1, bucket)").count() == 0 and back.count() == packing.pieces(odd, BYTE).count()
+    assert {int(p.name.split("=")[1]) for p in (tmp_path / "b").glob("bucket=*")} == {r.bucket for r in back.select("bucket").distinct().collect()}
+
+
 def test_query_7(spark):
     rows = packing.op7_packing(spark, DATA).collect()
     texts = {r.doc_id: [r.text] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
@@ -103,6 +116,16 @@ def test_files_round_trip(spark, odd, none, tmp_path, file_bytes, monkeypatch):
     assert read_back(spark, none, f"file://{tmp_path}/e")[1].count() == 0
 
 
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    docs, sc, jobs = spark.range(4000).selectExpr("id AS doc_id", "concat('word ', id) AS text"), spark.sparkContext, []
+    for file_bytes in (20_000, 1500):
+        sc.setJobGroup(f"files-{file_bytes}", "")
+        n = len(token_files.write(docs, WORD, f"file://{tmp_path}/{file_bytes}", file_bytes=file_bytes))
+        jobs.append((n, len(sc.statusTracker().getJobIdsForGroup(f"files-{file_bytes}"))))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1][0] > 8 * jobs[0][0] and jobs[1][1] <= jobs[0][1] + 1
+
+
 def test_one_id_for_all(spark, tmp_path):
     docs = spark.range(4000).selectExpr("5L AS doc_id", "concat('word ', id) AS text")
     manifest, back = read_back(spark, docs, f"file://{tmp_path}/t", file_bytes=8000)
