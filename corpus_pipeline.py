@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm import decontaminate, language, packing, simhash, toxicity
-from docsift.llm.shared import save, table
+from docsift.llm.shared import discard, save, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage was given is deleted once its own result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        before, docs = docs, save(stage(spark, docs, sf_dir), name)
+        discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
