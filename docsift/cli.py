@@ -8,6 +8,7 @@ import sys
 from dataclasses import asdict
 
 from docsift.errors import ConfigError, DocsiftError
+from docsift.operators.models import OnnxEmbedder, OnnxReranker
 from docsift.plans.engine import Engine
 from docsift.schema import Collection
 from docsift.sources.files import result_line, to_json
@@ -16,6 +17,8 @@ from docsift.sources.files import result_line, to_json
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docsift")
     p.add_argument("--index", default="index.docsift")
+    p.add_argument("--embedder", metavar="DIR", help="folder with model.onnx and tokenizer.json")
+    p.add_argument("--reranker", metavar="DIR", help="the same for a cross-encoder")
     top = p.add_subparsers(dest="command", required=True)
 
     def command(group, name: str, *flags, json: bool = False):
@@ -121,7 +124,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("docsift").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        if out := run(Engine(spark, os.path.abspath(a.index) if "://" not in a.index else a.index), a):
+        root = os.path.abspath(a.index) if "://" not in a.index else a.index
+        engine = Engine(spark, root, embedder=a.embedder and OnnxEmbedder(a.embedder), reranker=a.reranker and OnnxReranker(a.reranker))
+        if out := run(engine, a):
             print(out)
         return 0
     except DocsiftError as e:

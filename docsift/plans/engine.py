@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,7 +236,7 @@ class Engine:
             bodies = self.store.table("content").join(F.broadcast(top.select("hash").distinct()), "hash").select("hash", snippet_column("doc", query, PASSAGE).alias("passage"))
             passages = top.select("key", "hash").join(bodies, "hash").coalesce(1)
             scores = passages.select("key", fuse.rerank_scores("passage", query, self.reranker).alias("new")).toPandas()
-        except Exception:
+        except PythonException:  # the model's own failure; errors of the engine are not hidden
             return marked
         finally:
             top.unpersist()

@@ -2,7 +2,7 @@
 
 Content, vectors and postings only grow by segments; the narrow documents table is rewritten. A change is visible when the state
 file is replaced, in one rename; until then a failed or repeated job leaves only files that nothing names. Cleaning and vacuuming write
-compact segments and delete those no longer named.
+compact segments and delete those no longer named. Of two writers that began from one version, one is refused.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from docsift.errors import StorageError
 from docsift.schema import TABLES, Collection
 
 
+#: Age from which a claim is taken for that of a dead writer.
+CLAIM_MS = 600_000
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -41,8 +45,26 @@ class Store:
             raise StorageError(f"{self.root}: {e}") from e
 
     def commit(self) -> None:
-        """Replace the state file in one step."""
+        """Replace the state file in one step.
+
+        A version is written by the one writer that creates its claim; another that began from the same state is refused, and
+        has to read the store again. A claim that was left by a writer that died counts for CLAIM_MS.
+        """
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        version = self.state["version"]
+        claim = self._path(f"{self.root}/.claim-{version + 1}")
+        if self._fs.exists(claim) and time.time() * 1000 - self._fs.getFileStatus(claim).getModificationTime() > CLAIM_MS:
+            self._fs.delete(claim, False)
+        if not self._fs.createNewFile(claim):
+            raise StorageError(f"{self.root}: another writer is at version {version + 1}")
+        try:
+            if self._read_state()["version"] != version:
+                raise StorageError(f"{self.root}: version {version} is no longer the latest")
+            self._replace_state(jvm, sc)
+        finally:
+            self._fs.delete(claim, False)
+
+    def _replace_state(self, jvm, sc) -> None:
         self.state["version"] += 1
         draft, final = (self._path(f"{self.root}/{n}") for n in (f".state-{uuid.uuid4().hex}", "STATE.json"))
         out = self._fs.create(draft, True)

@@ -4,7 +4,7 @@ import os
 import pytest
 
 from docsift import cli
-from docsift.errors import CollectionExistsError, ConfigError, NotFoundError
+from docsift.errors import CollectionExistsError, ConfigError, NotFoundError, StorageError
 from docsift.functions.chunk import Chunker
 from docsift.operators.fuse import OverlapReranker
 from docsift.plans.engine import Engine
@@ -144,3 +144,32 @@ def test_stream(spark, tmp_path, place):
         q = watch(e, "docs", str(place), str(tmp_path / "mark"), once=True)
         q.awaitTermination()
         assert paths(e.search_fts(text)) == [f"{text}.md"]
+
+
+def test_empty_store(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "empty"))
+    for query in ("apple", '"a phrase" -word', "---"):
+        assert engine.search_fts(query).count() == 0 and engine.search(query).count() == 0
+    assert engine.search_vec("apple").count() == 0 and engine.doc_count() == 0 and engine.cleanup() == 0
+
+
+def test_two_writers(engine, spark, tmp_path):
+    """Of two that began from one version the second is refused, and nothing of the first is lost."""
+    other = Engine(spark, str(tmp_path / "store"))
+    engine.set_global_context("first")
+    with pytest.raises(StorageError):
+        other.set_global_context("second")
+    assert Engine(spark, str(tmp_path / "store")).global_context() == "first"
+    engine.set_global_context("again")
+
+
+class Broken:
+    def score(self, query, passages):
+        raise ValueError("no model")
+
+
+def test_failing_reranker_keeps_the_order(engine):
+    engine.update()
+    plain = paths(engine.search("running"))
+    engine.reranker = Broken()
+    assert paths(engine.search("running")) == plain and len(plain) > 1
