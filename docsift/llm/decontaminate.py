@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.shared import discard, save, slices, table
+from docsift.llm.shared import discard, free_name, save, slices, table
 
 WINDOW = 8
 #: Items found in so many make a document contaminated.
@@ -162,10 +162,13 @@ def _pass(rows: DataFrame, text_col: str, grams: Grams, below: int | None) -> Da
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, below: int | None = None) -> DataFrame:
     """The documents with every column and FOUND: words, runs of hit words (end exclusive), and the items that occur.
 
+    Where the documents have columns of those names, the new ones have a number after theirs.
+
     One block is one pass in the scan's own stage. With more, each pass is written to the shared folder before the next, so
     that one block is in an executor's memory at a time. ``below``: see _pass.
     """
-    out = docs.select("*", F.lit(0).cast("long").alias(FOUND[0]), F.expr("cast(array() as array<array<int>>)").alias(FOUND[1]), F.expr("cast(array() as array<string>)").alias(FOUND[2]))
+    names = [free_name(docs, n) for n in FOUND]
+    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.expr("cast(array() as array<array<int>>)").alias(names[1]), F.expr("cast(array() as array<string>)").alias(names[2]))
     parts = blocks(benchmark, item_col, item_text, window)
     grams, following, k = next(parts), next(parts, None), 0
     while following is not None:

@@ -67,6 +67,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with a number after it the first that no column has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def no_null_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -69,6 +69,28 @@ def test_kernel_values_against_sets(docs):
     assert (cut == model.presence([long_])).all()  # slices lose no n-gram
 
 
+def test_values_against_sets_of_ngrams():
+    """Kernels from plain sets of n-grams, the Nystroem map and the ridge regression, without the operator's presences."""
+    rng = random.Random(8)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(12))
+    texts, y = [say("abcde") for _ in range(9)] + [say("cdefgh") for _ in range(9)] + [say("hijka") for _ in range(9)], ["x"] * 9 + ["y"] * 9 + ["z"] * 9
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    model = language._solve([sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts], y, ["x", "y", "z"], 5)
+    marks = [i for k in "xyz" for i in [j for j, v in enumerate(y) if v == k][:5]]
+    vocabulary = set().union(*(grams(texts[i]) for i in marks))
+    known = lambda t: grams(t) & vocabulary
+    kernel = lambda a, b: len(known(a) & known(b)) / (len(known(a)) * len(known(b))) ** 0.5
+    k_mm = np.array([[kernel(texts[i], texts[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(k_mm)
+    root = vectors / np.sqrt(values)
+    phi = np.array([[kernel(t, texts[j]) for j in marks] for t in texts]) @ root
+    w = np.linalg.solve(phi.T @ phi + language.RIDGE * len(phi) * np.eye(phi.shape[1]), phi.T @ np.array([[float(v == k) for k in "xyz"] for v in y]))
+    new = [say("abcde"), say("hijka").upper(), "  ".join(say("cdefgh").split()) + " \n zzz"]
+    plain = [" ".join(t.lower().split()) for t in new]
+    want = np.array([[kernel(t, texts[j]) for j in marks] for t in plain]) @ root @ w
+    assert np.allclose(model.values(new), want, atol=2e-3) and model.predict(new)[0] == ["x", "z", "y"]
+
+
 def test_toxicity_held_out(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = toxicity.op10_toxicity(spark, DATA).join(docs.select("doc_id", "text"), "doc_id").join(labels, "doc_id", "left").collect()
@@ -278,3 +300,16 @@ def test_pipeline(spark, docs, tmp_path):
     assert bench not in kept["decontamination"].where(F.col("doc_id") == 10**9 + 4).first().text
     assert kept["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").count() == 0
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_pipeline_of_nothing_and_of_clashing_names(spark, docs):
+    """Empty tables run through; columns named like those of the operators come through every stage but the last."""
+    extra = ("fp", "component_id", "score", "lang_pred", "held_out", "items", "spans", "n_words", "i", "t", "y", "h", "at", "u", "v", "_id", "_k", "_items", "n", "length", "ids")
+    some = docs.limit(80).withColumns({n: F.lit(None).cast("string") if k % 2 else F.lit(k) for k, n in enumerate(extra)})
+    for now in (docs.where("false"), some):
+        few = now is some
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, now, DATA)
+            assert after.count() > 0 if few else after.count() == 0
+            assert name == "packing" or after.columns == now.columns
+            now = after
