@@ -56,6 +56,17 @@ def postings(corpus: DataFrame, fields: Sequence[str], keys: Sequence[str], anal
     return rows.select(F.col("t.term").alias("term"), *keys, "field", F.col("t.positions").alias("positions"))
 
 
+def vocabulary(corpus: DataFrame, field: str, analyzer: str) -> DataFrame:
+    """``term, df, n``: rows that hold a term, and its places in all of them.
+
+    A row gives each token with n 1 and each distinct one with df 1; both are summed before anything is shuffled.
+    """
+    entry = lambda df, n: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(n).alias("n"))
+    rows = corpus.select(token_column(field, analyzer).alias("words"))
+    each = rows.select(F.explode(F.concat(F.transform("words", entry(0, 1)), F.transform(F.array_distinct("words"), entry(1, 0)))).alias("t"))
+    return each.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.df").alias("df"), F.sum("t.n").alias("n"))
+
+
 def _wanted(clauses: Sequence[Clause]) -> Column:
     """Terms that some clause needs, as a filter that parquet readers understand."""
     exact = {w for c in clauses for w in (c.words[:-1] if c.prefix else c.words)}

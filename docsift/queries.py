@@ -171,8 +171,7 @@ QUERIES["fts_porter"] = _fts(clauses_for("licensing -apache", PORTER), analyzer=
 
 @query(r"SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term")
 def fts_vocabulary(spark, sf_dir):
-    each = fts.postings(corpus(spark, sf_dir), ("body",), ("doc_id",), SIMPLE)
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("n"))
+    return fts.vocabulary(corpus(spark, sf_dir), "body", SIMPLE)
 
 
 @query(_fts_oracle(_SEARCHES["fts_phrase"], limit=None).rsplit("\nSELECT", 1)[0] + " SELECT collection, path, round(tf0, 6) AS tf0 FROM c WHERE tf0 > 0")
