@@ -114,17 +114,17 @@ class Model:
         return labels, scores
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL, landmarks: int = LANDMARKS_PER_LABEL) -> Model:
-    """Learns from at most per_label rows of each label, those of the least hash of their id.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL, landmarks: int = LANDMARKS_PER_LABEL, max_labels: int = MAX_LABELS) -> Model:
+    """Learns from at most per_label rows of each label, those of the least hash of their id; refuses more than max_labels labels.
 
     Ids are chosen from two narrow columns; texts are then read for those alone.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).distinct().withColumn("h", F.xxhash64("i", F.lit(11)).bitwiseAND(F.lit(LARGEST)))
-    counts = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
+    counts = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
     labels = sorted(counts)
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    if len(labels) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     # Hashes beyond a few times what is wanted can't be among the least, and aren't sent to the label's task.
     least = F.lit(LARGEST)
     for y, n in counts.items():
