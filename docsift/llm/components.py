@@ -21,29 +21,34 @@ from docsift.llm.shared import discard, save
 BROADCAST_KEYS, FEW = 200_000, 1024
 
 
-def by_key(rows: DataFrame, known: DataFrame, key: str, n_rows: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def by_key(rows: DataFrame, known: DataFrame, key: str, n_rows: int, scratch: list, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Inner join of rows with one known row a key; ``known`` says in ``n`` how many rows have the key, or more.
 
     Of ``n_rows`` rows at most ``n_rows / least`` keys can have over ``least`` each, so those keys are within the bound of a
-    broadcast whatever the data; their rows stay where they are. Rows of all other keys are shuffled, in groups of ``least`` at most.
+    broadcast whatever the data; their rows stay where they are. Rows of all other keys are shuffled, in groups of ``least`` at
+    most. ``known`` is written first, and goes into ``scratch``; most often it has no such key.
     """
     least = max(FEW, -(-n_rows // broadcast_keys))
+    known = save(known, "known")
+    scratch.append(known)
+    if known.where(F.col("n") > least).isEmpty():
+        return rows.join(known.drop("n"), key)
     hot = F.broadcast(known.where(F.col("n") > least).drop("n"))
     rest = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col("n") <= least).drop("n"), key)
     return rows.join(hot, key).unionByName(rest)
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, scratch: list) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
-    return by_key(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return by_key(both.where("v > u"), least, "u", 2 * n, scratch).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, scratch: list) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hung = by_key(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    hung = by_key(down, least, "u", n, scratch).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionAll(scratch[-1].select("u", F.col("m").alias("v"))).distinct()
 
 
 def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -52,9 +57,12 @@ def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
     now = save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = _mark(now)
     while seen[0]:
-        after = save(_small_star(_large_star(now, seen[0]), seen[0]), name)
+        scratch: list[DataFrame] = []
+        large = save(_large_star(now, seen[0], scratch), name)
+        after = save(_small_star(large, seen[0], scratch), name)
         mark = _mark(after)
-        discard(spark, now)
+        for t in (now, large, *scratch):
+            discard(spark, t)
         now = after
         if mark == seen:
             break

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.llm.components import BROADCAST_KEYS, by_key, stars
-from docsift.llm.shared import discard, save, slices, table
+from docsift.llm.shared import discard, free_name, save, slices, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -258,8 +258,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = save(nodes.join(found, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
     discard(docs.sparkSession, nodes)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    by_fp = by_key(rooted, ids, "root", n_nodes).select("fp", "component_id", F.col("rows").alias("n"))
-    return by_key(fps, by_fp, "fp", n_rows).select("doc_id", "fp", "component_id")
+    by_fp = by_key(rooted, ids, "root", n_nodes, []).select("fp", "component_id", F.col("rows").alias("n"))
+    return by_key(fps, by_fp, "fp", n_rows, []).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -268,17 +268,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Only ids that go travel: they are broadcast while few, else joined by shuffle. Ids that occur more than once and would
     stay are settled apart.
     """
+    name, place = free_name(docs, "_id"), free_name(docs, "_k")
     found = save(components(docs, id_col, text_col, radius, shingle).where("doc_id is not null"), "groups")
-    gone = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    twice = save(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
+    gone = save(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    twice = save(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name), "twice")
     discard(docs.sparkSession, found)
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    same = F.col(id_col) == F.col("_id")
+    same = F.col(id_col) == F.col(name)
     kept = docs.join(few(gone), same, "left_anti")
     if twice.isEmpty():
         return kept
     named = few(twice)
-    again = kept.join(named, same, "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("_k = 1").drop("_k")
+    again = kept.join(named, same, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where(f"{place} = 1").drop(place)
     return kept.join(named, same, "left_anti").unionByName(again)
 
 

@@ -118,3 +118,22 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in simhash.op8_simhash(spark, DATA).collect()), key=str)
     assert got == brute(docs)
+
+
+def test_keys_with_many_rows_are_joined_by_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 90), (2, 5), (3, 1), (4, 30)) for i in range(n)] + [(9, 0)], "k long, i long")
+    known = spark.createDataFrame([(1, "a", 90), (2, "b", 5), (3, "c", 1), (4, "d", 30), (5, "e", 7)], "k long, what string, n long")
+    for few in (1, 20, 1000):
+        monkeypatch.setattr(components, "FEW", few)
+        scratch = []
+        got = components.by_key(rows, known, "k", 127, scratch, 100)
+        assert sorted(map(tuple, got.groupBy("k", "what").count().collect())) == [(1, "a", 90), (2, "b", 5), (3, "c", 1), (4, "d", 30)] and got.columns == ["k", "i", "what"]
+        assert len(scratch) == 1 and ("Broadcast" in got._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == (few < 1000)
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 8)
+    edges = spark.createDataFrame([(500, i) for i in range(1000, 1300)] + [(i, 20_000 + i) for i in range(1000, 1300, 7)] + [(3, 20_007 + 993)], "u long, v long")
+    got = {(r.u, r.v) for r in components.stars(edges).collect()}
+    nodes = {500, *range(1000, 1300), *(20_000 + i for i in range(1000, 1300, 7)), 21_000}
+    assert got == {(u, 3) for u in nodes}
