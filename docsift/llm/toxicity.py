@@ -17,6 +17,7 @@ rows; repeated rows each get a row; other columns are not read (score) or pass t
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -39,11 +40,13 @@ SPARE, LARGEST = 4, (1 << 63) - 1
 TOXIC = 0.7
 #: Words on either side of a second person that count as near it, and the window of the highest local count.
 NEAR, WINDOW = 5, 25
-#: Words that a worker keeps the flags of; beyond it all are looked at anew.
-KEPT = 100_000
+#: Words that a worker keeps the flags and weights of; beyond it all are looked at anew.
+KEPT = 300_000
 #: Lengths of the beginnings of words that are learned; toxic rows that a learned term is in at least; its least log odds, and the
 #: standard errors by which they must differ from 0; terms that the driver gets at most, and counts that a worker holds at once.
 BEGINNINGS, LEAST_ROWS, LEAST_ODDS, SURE, TERMS, COUNTS = range(4, 9), 3, 1.5, 3.0, 50_000, 200_000
+#: Signs that all learned terms of a word begin with: the shortest beginning, or the word and its blank.
+HEAD = BEGINNINGS[0]
 #: Weight from which a learned word is a strong one, words whose weights are summed, and words of the shingles that tell near copies.
 STRONG, TOP, SHINGLE = 3.0, 3, 5
 
@@ -69,34 +72,36 @@ FEATURES = ("log_words", "insults", "log_insults", "kinds", "local", "threats",
 LEARNED = ("learned", "learned_weight", "log_learned", "learned_kinds", "learned_local", "learned_near_you", "learned_most", "learned_top", "learned_strong", "learned_squares")
 FEATURES += LEARNED
 
+_SIGNS = string.punctuation
+#: Accented letters of Latin scripts without their accents.
+_BARE = {c: b for c in range(0xC0, 0x250) if (b := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) != chr(c)}
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _RUN = re.compile(r"(.)\1+")
 _STRETCH = re.compile(r"(.)\1\1")
 
 
+def _core(word: str) -> str:
+    """The word without the signs around it."""
+    core = word.strip(_SIGNS)
+    return core if core.isalnum() else _EDGE.sub("", word)
+
+
 def _squeezed(w: str) -> str:
     return _RUN.sub(r"\1", w)
 
 
-class _Words(dict):
+class _Words:
     """Flags of words by their spelling; insults also carry their number from bit 8 on."""
 
     def __init__(self):
-        super().__init__()
         self.insults = {w: i + 1 for i, w in enumerate(INSULTS)}
         self.squeezed = {_squeezed(w): i for w, i in self.insults.items() if len(w) > 4}
         self.masked = [(re.compile("".join(f"[{re.escape(c)}*#_.-]" if 0 < i < len(w) - 1 else re.escape(c) for i, c in enumerate(w)) + r"\Z"), n) for w, n in self.insults.items() if len(w) > 3]
         self.threats, self.you = frozenset(THREATS), frozenset(YOU)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        flags = self[word] = self.look(word)
-        return flags
-
-    def look(self, word: str) -> int:
-        core = _EDGE.sub("", word)
+    def look(self, word: str, core: str | None = None) -> int:
+        core = _core(word) if core is None else core
         low = core.lower()
         flags = (CAPS if len(core) > 1 and core.isupper() else 0) | (LOUD if "!" in word or "?!" in word else 0) | (LETTER if len(core) == 1 and core.isalpha() else 0)
         if low in self.you:
@@ -123,12 +128,14 @@ class _Words(dict):
         return HIDDEN if re.search(r"[^\W\d_][\d@$!]+[^\W\d_]", low) else 0
 
 
-_WORDS: _Words | None = None
+_WORDS = _Words()
 
 
-def _folded(word: str) -> str:
+def _folded(word: str, core: str | None = None) -> str:
     """Lower case without accents and signs around."""
-    low = _EDGE.sub("", word).lower()
+    low = (_core(word) if core is None else core).lower()
+    if not low.isascii():
+        low = low.translate(_BARE)
     return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
@@ -140,23 +147,54 @@ def _terms(folded: str) -> list[str]:
     return out
 
 
-class Lexicon(dict):
+class Lexicon:
     """Weights of words by their spelling, 0 for those of no learned term; an obfuscated word has that of its plain spelling."""
 
     def __init__(self, weights: dict[str, float]):
-        super().__init__()
         self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= KEPT:
-            self.clear()
-        folded = _folded(word)
+        self.heads = {t[:HEAD] for t in weights}
+        self.seen = _Seen(self)
+
+    def __getitem__(self, word: str) -> float:
+        return self.weigh(word, _core(word))
+
+    def weigh(self, word: str, core: str) -> float:
+        if not self.weights:
+            return 0.0
+        folded = _folded(word, core)
+        if folded.isascii() and folded.isalpha() and not _STRETCH.search(folded) and (folded + " ")[:HEAD] not in self.heads:
+            return 0.0  # every term of such a word begins as it does
         spellings = [folded]
         if folded and (not folded.isalpha() or _STRETCH.search(folded)):
             plain = _INNER.sub("", folded).translate(LOOKS)
             spellings += [plain, _INNER.sub("", _folded(word.translate(LOOKS))), _squeezed(plain)]
-        weight = self[word] = max((self.weights.get(t, 0.0) for s in spellings for t in _terms(s)), default=0.0)
-        return weight
+        return max((self.weights.get(t, 0.0) for s in spellings for t in _terms(s)), default=0.0)
+
+
+class _Seen(dict):
+    """Numbers of the words that a worker has met, by which their flags and weights are kept; emptied between texts."""
+
+    def __init__(self, learned: Lexicon):
+        super().__init__()
+        self.learned, self.size = learned, 1 << 12
+        self.flags, self.weights = np.zeros(self.size, np.int32), np.zeros(self.size)
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        if k == self.size:
+            self.size *= 2
+            self.flags, self.weights = np.resize(self.flags, self.size), np.resize(self.weights, self.size)
+        core = _core(word)
+        self.flags[k], self.weights[k] = _WORDS.look(word, core), self.learned.weigh(word, core)
+        return k
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self) > KEPT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+_PLAIN = Lexicon({})
 
 
 def lexicon(terms: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -170,15 +208,14 @@ def lexicon(terms: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int
 
 def features(text: str | None, learned: Lexicon | None = None) -> np.ndarray:
     """The dense features of one whole text, in the order of FEATURES."""
-    global _WORDS
-    if _WORDS is None:
-        _WORDS = _Words()
+    learned = learned or _PLAIN
     out = np.zeros(len(FEATURES))
     words = (text or "").split()
     n = len(words)
     if not n:
         return out
-    flags = np.fromiter(map(_WORDS.__getitem__, words), np.int32, n)
+    numbers = learned.seen.numbers(words)
+    flags = learned.seen.flags[numbers]
     single = np.concatenate([[0], (flags & LETTER > 0).astype(np.int8), [0]])
     spaced = 0
     if (np.convolve(single, np.ones(4, np.int8)) == 4).any():  # letters set apart
@@ -205,15 +242,15 @@ def features(text: str | None, learned: Lexicon | None = None) -> np.ndarray:
     out[9], out[10] = counts[65:91].sum() / size, (flags & LOUD > 0).sum() / n
     out[11] = counts[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum() / size
     out[12], out[13], out[14] = hidden.sum() / n, (hidden & insult).sum() / n, spaced / n
-    if learned is not None and learned.weights:
-        w = np.fromiter(map(learned.__getitem__, words), np.float64, n)
+    if learned.weights:
+        w = learned.seen.weights[numbers]
         toxic = w > 0
         if found := int(toxic.sum()):
             c, y, at = np.concatenate([[0], np.cumsum(toxic)]), np.concatenate([[0], np.cumsum(you)]), np.flatnonzero(toxic)
             near = y[np.minimum(at + NEAR + 1, n)] - y[np.maximum(at - NEAR, 0)] > 0
-            kinds = sorted({words[i]: v for i, v in zip(at.tolist(), w[at].tolist(), strict=True)}.values(), reverse=True)
+            kinds = np.sort(learned.seen.weights[np.unique(numbers[at])])[::-1]
             out[18:24] = found / n, w.sum() / n, np.log1p(found), len(kinds), (c[np.minimum(at + WINDOW, n)] - c[at]).max(), near.sum() / n
-            out[24:] = kinds[0], sum(kinds[:TOP]), (w >= STRONG).sum() / n, (w**2).sum() / n
+            out[24:] = kinds[0], kinds[:TOP].sum(), (w >= STRONG).sum() / n, (w**2).sum() / n
     out[15], out[16], out[17] = counts[48:58].sum() / size, counts[[35, 36, 37, 38, 42, 60, 62, 64, 95, 124, 126]].sum() / size, counts[128:].sum() / size
     return out
 
