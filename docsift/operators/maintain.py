@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 INDEXED, UPDATED, UNCHANGED, REMOVED, KEPT = "indexed", "updated", "unchanged", "removed", "kept"
 KEY = ("collection", "path")
+#: What names a stored row.
+ROW = ("revision", "number")
 
 
 def classify(scan: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -38,6 +40,20 @@ def new_content(bodies: DataFrame, content: DataFrame) -> DataFrame:
     return bodies.dropDuplicates(["hash"]).join(content.select("hash"), "hash", "left_anti")
 
 
+def marks(rows: DataFrame) -> DataFrame:
+    """A set of rows as bits: ``revision, word, bits`` for 64 numbers each, so about a byte a row."""
+    word, bit = F.shiftright("number", 6).alias("word"), F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+    return rows.groupBy("revision", word).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(rows: DataFrame, chosen: DataFrame, there: bool = True) -> DataFrame:
+    """Rows that ``chosen`` names by revision and number, or the others; only the bits are moved, never a row."""
+    bits = F.broadcast(marks(chosen.select(*ROW)).withColumnRenamed("revision", "_revision"))
+    on = (F.col("revision") == F.col("_revision")) & (F.shiftright("number", 6) == F.col("word"))
+    hit = F.expr("coalesce(getbit(bits, CAST(number & 63 AS INT)), 0) = 1")
+    return rows.join(bits, on, "left").where(hit if there else ~hit).drop("_revision", "word", "bits")
+
+
 def unembedded(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     """Active documents without a first chunk vector: distinct ``hash, path``."""
     return documents.where("active").join(vectors.where("seq = 0").select("hash"), "hash", "left_anti").select("hash", "path").distinct()

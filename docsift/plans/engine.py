@@ -26,6 +26,8 @@ FIELDS = ("filepath", "title", "body")
 #: A hybrid search takes so many times its limit from each list, and reranks so many times it.
 FETCH, RERANK, PASSAGE = 3, 2, 4000
 MODEL = "default"
+#: The order of postings within a file.
+SORT = ("term", "revision", "number")
 
 
 class Engine:
@@ -77,10 +79,15 @@ class Engine:
         self.store.drop_collection(old)
         c.name = new
         self.store.put_collection(c)
-        docs = self.store.table("documents")
-        moved = docs.where(F.col("collection") == old).withColumn("collection", F.lit(new)).withColumn("revision", F.expr("uuid()"))
-        moved = self._indexed(moved.join(self.store.table("content").select("hash", F.col("doc").alias("body")), "hash"))
-        self.store.replace("documents", docs.where(F.col("collection") != old).unionByName(moved.drop("body")))
+        docs, postings = self.store.table("documents"), self.store.table("postings")
+        size = lambda: F.size(token_column(F.concat_ws("/", "collection", "path"), self.analyzer))
+        moved = docs.where(F.col("collection") == old)
+        named = moved.withColumn("doc_tokens", F.col("doc_tokens") - size()).withColumn("collection", F.lit(new)).withColumn("doc_tokens", F.col("doc_tokens") + size())
+        # Only terms of paths change: no body is read.
+        kept = maintain.marked(postings.where("field = 0"), moved, there=False).unionByName(postings.where("field <> 0"))
+        self.store.replace("postings", kept, sort=SORT)
+        self._index(named.withColumn("filepath", F.concat_ws("/", "collection", "path")), FIELDS[:1])
+        self.store.replace("documents", docs.where(F.col("collection") != old).unionByName(named))
         self.store.commit()
 
     def set_context(self, collection: str, prefix: str, text: str) -> bool:
@@ -116,13 +123,11 @@ class Engine:
 
     # --- indexing
 
-    def _indexed(self, docs: DataFrame) -> DataFrame:
-        """Writes postings of documents (with ``body``) and gives them back with ``doc_tokens``."""
-        named = docs.withColumn("filepath", F.concat_ws("/", "collection", "path"))
-        terms = fts.postings(named, FIELDS, ("collection", "path", "revision"), self.analyzer)
-        self.store.append("postings", terms, sort=("term",))
-        size = sum((F.size(token_column(f, self.analyzer)) for f in FIELDS), F.lit(0))
-        return named.withColumn("doc_tokens", size).drop("filepath")
+    def _index(self, docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+        """Writes postings of documents (``revision, number`` and the fields); gives ``number, doc_tokens`` of those that have tokens."""
+        self.store.append("postings", fts.postings(docs, fields, maintain.ROW, self.analyzer), sort=SORT)
+        made = self.store.segment("postings", self.store.state["tables"]["postings"][-1])
+        return made.groupBy("number").agg(F.sum(F.size("positions")).cast("int").alias("doc_tokens"))
 
     def update(self, names: Sequence[str] | None = None) -> UpdateResult:
         """Scan registered collections, or those named, and take in what changed; unknown names are ignored."""
@@ -133,31 +138,40 @@ class Engine:
         return self.ingest(reduce(DataFrame.unionByName, scans), [c.name for c in chosen])
 
     def ingest(self, scanned: DataFrame, collections: Sequence[str]) -> UpdateResult:
-        """Take in a complete scan ``collection, path, body`` of some collections."""
-        scratch = f"{self.store.root}/scan-{uuid.uuid4().hex}"
-        files.with_identity(scanned).write.mode("overwrite").parquet(scratch)
-        scan = self.spark.read.parquet(scratch)
-        docs = self.store.table("documents")
-        mine = docs.where(F.col("collection").isin(list(collections)))
-        status = maintain.classify(scan, mine)
-        n = maintain.counts(status)
-        if n["indexed"] or n["updated"] or n["removed"]:
-            now = F.date_trunc("second", F.current_timestamp())
-            fresh = scan.join(status.where(F.col("status").isin(maintain.INDEXED, maintain.UPDATED)).select("collection", "path"), ["collection", "path"], "left_semi")
-            if n["indexed"] or n["updated"]:
-                bodies = maintain.new_content(fresh.select("hash", F.col("body").alias("doc")), self.store.table("content"))
-                self.store.append("content", bodies.withColumn("created_at", now))
-            born = mine.select("collection", "path", F.col("created_at").alias("born"))
-            changed = fresh.join(born, ["collection", "path"], "left").select("collection", "path", "title", "hash", F.char_length("body").alias("body_len"), F.coalesce("born", now).alias("created_at"), now.alias("modified_at"), F.lit(True).alias("active"), F.sha2(F.concat_ws("\n", "collection", "path", "hash", F.lit(str(self.store.state["version"]))), 256).alias("revision"), "body")
-            changed = self._indexed(changed).drop("body")
-            gone = status.where(F.col("status") == maintain.REMOVED).select("collection", "path", F.lit(True).alias("gone"))
-            touched = changed.select("collection", "path")
-            rest = docs.join(touched, ["collection", "path"], "left_anti").join(gone, ["collection", "path"], "left").withColumn("active", F.col("active") & F.col("gone").isNull()).drop("gone")
-            self.store.replace("documents", rest.unionByName(changed))
-            self.store.commit()
-        self.store._fs.delete(self.store._path(scratch), True)
+        """Take in a complete scan ``collection, path, body`` of some collections; a file without usable text has a null body.
+
+        The scan is written once, with numbers. What is to be done is worked out on hashes, and bodies are then picked by number.
+        """
+        scratch, version = f"{self.store.root}/scan-{uuid.uuid4().hex}", self.store.state["version"]
+        try:
+            numbered = files.with_identity(scanned).withColumn("body_len", F.char_length("body")).withColumn("number", F.monotonically_increasing_id())
+            numbered.write.option("compression", "zstd").parquet(f"{scratch}/files")
+            scan = self.spark.read.parquet(f"{scratch}/files").withColumn("revision", F.lit(version).cast("long"))
+            docs = self.store.table("documents")
+            mine = docs.where(F.col("collection").isin(list(collections)))
+            maintain.classify(scan, mine).select(*maintain.KEY, "status").write.parquet(f"{scratch}/status")
+            status = self.spark.read.parquet(f"{scratch}/status")
+            n = maintain.counts(status)
+            if n["indexed"] or n["updated"] or n["removed"]:
+                self._take(scan, docs, mine, status)
+        finally:
+            self.store.delete(scratch)
         return UpdateResult(len(collections), n["indexed"], n["updated"], n["unchanged"], n["removed"])
 
+    def _take(self, scan: DataFrame, docs: DataFrame, mine: DataFrame, status: DataFrame) -> None:
+        keys, now = list(maintain.KEY), F.date_trunc("second", F.current_timestamp())
+        fresh = scan.drop("body").join(status.where(F.col("status").isin(maintain.INDEXED, maintain.UPDATED)), keys, "left_semi")
+        first = fresh.groupBy("hash").agg(F.min(F.struct(*maintain.ROW)).alias("row")).select("hash", "row.*")
+        first = first.join(self.store.table("content").select("hash"), "hash", "left_anti")
+        self.store.append("content", maintain.marked(scan, first).withColumnRenamed("body", "doc").withColumn("created_at", now))
+        sizes = self._index(maintain.marked(scan, fresh).withColumn("filepath", F.concat_ws("/", *keys)), FIELDS)
+        born = mine.select(*keys, F.col("created_at").alias("born"))
+        changed = fresh.join(born, keys, "left").join(sizes, "number", "left").withColumns({"created_at": F.coalesce("born", now), "modified_at": now, "active": F.lit(True), "doc_tokens": F.coalesce("doc_tokens", F.lit(0))}).select(*docs.columns)
+        gone = status.where(F.col("status") == maintain.REMOVED).select(*keys, F.lit(True).alias("gone"))
+        rest = docs.join(fresh.select(*keys), keys, "left_anti").join(gone, keys, "left").withColumn("active", F.col("active") & F.col("gone").isNull()).drop("gone")
+        self.store.replace("documents", rest.unionByName(changed))
+        self.store.commit()
+
     def embed(self, force: bool = False) -> EmbedResult:
         """Chunk and embed documents without vectors; equal bodies are embedded once and counted by path."""
         if force:
@@ -166,7 +180,8 @@ class Engine:
         n = waiting.count()
         if not n:
             return EmbedResult()
-        bodies = self.store.table("content").join(waiting.select("hash").distinct(), "hash", "left_semi")
+        content = self.store.table("content")
+        bodies = maintain.marked(content, content.select("hash", *maintain.ROW).join(waiting.select("hash").distinct(), "hash", "left_semi"))
         chunks = bodies.select("hash", F.explode(chunk_column("doc", self.chunker)).alias("c")).select("hash", "c.seq", "c.pos", "c.text")
         rows = chunks.select("hash", "seq", "pos", F.lit(MODEL).alias("model"), vector.embed_column("text", self.embedder).alias("embedding"), F.date_trunc("second", F.current_timestamp()).alias("embedded_at"))
         try:
@@ -185,13 +200,13 @@ class Engine:
         if not clauses:
             return self.spark.createDataFrame([], RESULT)
         docs = self.store.table("documents").where("active")
-        keys = ["collection", "path", "revision"]
-        counted = fts.lookup(self.store.table("postings"), clauses, keys).join(docs.select(*keys, F.col("doc_tokens").alias("dl")), keys)
+        keys = list(maintain.ROW)
+        counted = fts.lookup(self.store.table("postings"), clauses, keys).join(docs.select(*keys, *maintain.KEY, F.col("doc_tokens").alias("dl")), keys)
         tf = [f"tf{i}" for i in range(len(clauses))]
         df = counted.agg(*[F.sum((F.col(t) > 0).cast("long")).alias(f"df{i}") for i, t in enumerate(tf)])
         stats = docs.agg(F.count("*").alias("n_docs"), F.sum(F.col("doc_tokens").cast("long")).alias("total")).crossJoin(df)
         shown = counted if collection is None else counted.where(F.col("collection") == collection)
-        top = fts.ranked(shown, stats, clauses, limit, ("collection", "path")).select("collection", "path", "revision", "score")
+        top = fts.ranked(shown, stats, clauses, limit, maintain.KEY).select(*keys, "score")
         return docs.join(F.broadcast(top), keys).select(*self._columns(F.col("score"), "Fts")).orderBy(F.desc("score"), "collection", "path")  # top is limit rows
 
     @staticmethod
@@ -300,19 +315,23 @@ class Engine:
         """Delete inactive documents, and content, vectors and postings that none uses; returns documents, bodies and vectors gone."""
         docs, content, vectors = (self.store.table(t) for t in ("documents", "content", "vectors"))
         n = [docs.where("not active").count(), maintain.orphans(content.select("hash"), docs).count(), maintain.orphans(vectors.select("hash"), docs).count()]
-        self.store.replace("documents", docs.where("active"))
+        self._settle("documents", docs.where("active"))
+        docs = self.store.table("documents")
         if n[1]:
-            self.store.replace("content", maintain.live(content, docs))
+            self._settle("content", maintain.marked(content, maintain.live(content.select("hash", *maintain.ROW), docs)))
         if n[2]:
-            self.store.replace("vectors", maintain.live(vectors, docs))
-        self._compact_postings(docs)
+            self._settle("vectors", maintain.live(vectors, docs))
+        self._compact_postings()
+        return sum(n)
+
+    def _settle(self, table: str, rows: DataFrame, sort: tuple[str, ...] = ()) -> None:
+        """Replace one table for good, so that no more than one is there twice; each step leaves a store that is right."""
+        self.store.replace(table, rows, sort)
         self.store.commit()
         self.store.drop_unnamed()
-        return sum(n)
 
-    def _compact_postings(self, docs: DataFrame) -> None:
-        keys = ["collection", "path", "revision"]
-        self.store.replace("postings", self.store.table("postings").join(docs.where("active").select(*keys), keys, "left_semi"), sort=("term",))
+    def _compact_postings(self) -> None:
+        self._settle("postings", maintain.marked(self.store.table("postings"), self.store.table("documents").where("active")), SORT)
 
     def clear_embeddings(self) -> int:
         n = self.store.table("vectors").count()
@@ -323,13 +342,11 @@ class Engine:
 
     def vacuum(self) -> None:
         """Compact small segments and delete old ones."""
-        self.store.replace("documents", self.store.table("documents"))
+        self._settle("documents", self.store.table("documents"))
         for t in ("content", "vectors"):
             if len(self.store.state["tables"][t]) > 1:
-                self.store.replace(t, self.store.table(t))
-        self._compact_postings(self.store.table("documents"))
-        self.store.commit()
-        self.store.drop_unnamed()
+                self._settle(t, self.store.table(t))
+        self._compact_postings()
 
 
 def _stamp(at) -> str | None:

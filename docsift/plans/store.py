@@ -2,7 +2,7 @@
 
 Content, vectors and postings only grow by segments; the narrow documents table is rewritten. A change is visible when the state
 file is replaced, in one rename; until then a failed or repeated job leaves only files that nothing names. Cleaning and vacuuming write
-compact segments and delete those no longer named. Of two writers that began from one version, one is refused.
+compact segments and delete those no longer named, one table after the other. Of two writers that began from one version, one is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from docsift.schema import TABLES, Collection
 
 #: Age from which a claim is taken for that of a dead writer.
 CLAIM_MS = 600_000
+#: Of the tables' layout.
+FORMAT = 2
 
 
 class Store:
@@ -35,14 +37,17 @@ class Store:
     def _read_state(self) -> dict:
         at = self._path(f"{self.root}/STATE.json")
         if not self._fs.exists(at):
-            return {"version": 0, "tables": {t: [] for t in TABLES}, "collections": [], "config": {}}
+            return {"format": FORMAT, "version": 0, "tables": {t: [] for t in TABLES}, "collections": [], "config": {}}
         try:
             stream = self._fs.open(at)
             text = bytes(stream.readAllBytes()).decode()
             stream.close()
-            return json.loads(text)
+            state = json.loads(text)
         except Exception as e:
             raise StorageError(f"{self.root}: {e}") from e
+        if state.get("format") != FORMAT:
+            raise StorageError(f"{self.root}: written in another format; index it again")
+        return state
 
     def commit(self) -> None:
         """Replace the state file in one step.
@@ -82,13 +87,16 @@ class Store:
         reader = self.spark.read.schema(TABLES[name])
         return reader.parquet(*segments) if segments else self.spark.createDataFrame([], TABLES[name])
 
+    def segment(self, name: str, segment: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{segment}")
+
     def write(self, name: str, rows: DataFrame, sort: tuple[str, ...] = ()) -> str:
-        """A new segment, not yet named by the state."""
+        """A new segment, not yet named by the state. ``sort`` orders the rows of each file; nothing is moved for it."""
         segment = f"{name}/{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
         rows = rows.select(*TABLES[name].names)
         if sort:
-            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        rows.write.parquet(f"{self.root}/{segment}")
+            rows = rows.sortWithinPartitions(*sort)
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/{segment}")
         return segment
 
     def append(self, name: str, rows: DataFrame, sort: tuple[str, ...] = ()) -> None:
@@ -97,6 +105,9 @@ class Store:
     def replace(self, name: str, rows: DataFrame, sort: tuple[str, ...] = ()) -> None:
         self.state["tables"][name] = [self.write(name, rows, sort)]
 
+    def delete(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
     def drop_unnamed(self) -> None:
         """Delete segments that the state no longer names."""
         for name, kept in self.state["tables"].items():

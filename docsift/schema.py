@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "floats": T.ArrayType(T.FloatType()), "ints": T.ArrayType(T.IntegerType())}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "floats": T.ArrayType(T.FloatType()), "ints": T.ArrayType(T.IntegerType())}
 
 
 def _schema(text: str) -> T.StructType:
@@ -14,12 +14,13 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in text.split(","))])
 
 
-CONTENT = _schema("hash string, doc string, created_at timestamp")
-#: ``revision`` names the state of a row that postings were made for; ``doc_tokens`` counts its tokens over all columns.
-DOCUMENTS = _schema("collection string, path string, title string, hash string, body_len int, created_at timestamp, modified_at timestamp, active boolean, revision string, doc_tokens int")
+#: ``revision`` is the version of the store that a row was taken in at, ``number`` its place in that scan; together they are unique.
+CONTENT = _schema("hash string, doc string, created_at timestamp, revision long, number long")
+#: Postings name a document by revision and number; ``doc_tokens`` counts its tokens over all columns.
+DOCUMENTS = _schema("collection string, path string, title string, hash string, body_len int, created_at timestamp, modified_at timestamp, active boolean, revision long, number long, doc_tokens int")
 VECTORS = _schema("hash string, seq int, pos int, model string, embedding floats, embedded_at timestamp")
 #: ``field``: 0 path with collection, 1 title, 2 body.
-POSTINGS = _schema("term string, collection string, path string, revision string, field int, positions ints")
+POSTINGS = _schema("term string, revision long, number long, field int, positions ints")
 TABLES = {"content": CONTENT, "documents": DOCUMENTS, "vectors": VECTORS, "postings": POSTINGS}
 RESULT = _schema("collection string, path string, title string, hash string, modified_at timestamp, body_len int, score double, source string")
 
