@@ -122,8 +122,14 @@ def below(spark: SparkSession, base: str) -> Column:
     return F.when(F.col("path").startswith(full), F.substr("path", F.lit(len(full) + 1)))
 
 
+def usable(content: str) -> Column:
+    """The text of a file, null where it is blank or isn't UTF-8."""
+    text = F.col(content).cast("string")
+    return F.when(F.is_valid_utf8(text) & text.rlike(r"\S"), text)
+
+
 def scan(spark: SparkSession, c: Collection) -> DataFrame:
-    """``collection, path, body``: every file that the walk finds; body is null where the file isn't UTF-8 text.
+    """``collection, path, body``: every file that the walk finds; body is null where the file is blank or isn't UTF-8 text.
 
     Local directories are walked on the driver with .gitignore rules, and files are read on the executors, which must see the
     same directory; other stores are listed by Spark, where .gitignore files are not looked at.
@@ -149,14 +155,12 @@ def scan(spark: SparkSession, c: Collection) -> DataFrame:
             return rel.map(one)
 
         rows = names.repartition(max(1, min(len(paths) // 64 + 1, 4096))).withColumn("content", read("path"))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return rows.select(F.lit(c.name).alias("collection"), F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), text.alias("body"))
+    return rows.select(F.lit(c.name).alias("collection"), F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), usable("content").alias("body"))
 
 
 def with_identity(files: DataFrame) -> DataFrame:
-    """Adds ``hash`` and ``title``; both are null where there is no text."""
-    usable = F.col("body").isNotNull() & F.col("body").rlike(r"\S")
-    return files.select("collection", "path", F.when(usable, F.col("body")).alias("body")).select("*", content_hash("body").alias("hash"), F.when(F.col("body").isNotNull(), title(F.col("body"), F.col("path"))).alias("title"))
+    """Adds ``hash`` and ``title``; both are null where the body is null. A body that is empty or blank has both."""
+    return files.select("collection", "path", "body", content_hash("body").alias("hash"), F.when(F.col("body").isNotNull(), title(F.col("body"), F.col("path"))).alias("title"))
 
 
 def to_json(results: list) -> str:

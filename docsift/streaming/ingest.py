@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docsift.plans.engine import Engine
-from docsift.sources.files import below
+from docsift.sources.files import below, usable
 
 
 def watch(engine: Engine, collection: str, path: str, checkpoint: str, pattern: str = "*.md", once: bool = False) -> StreamingQuery:
@@ -16,8 +16,7 @@ def watch(engine: Engine, collection: str, path: str, checkpoint: str, pattern:
     stream = engine.spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
     def take(batch: DataFrame, _: int) -> None:
-        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-        came = batch.select(F.lit(collection).alias("collection"), below(engine.spark, path).alias("path"), text.alias("body"))
+        came = batch.select(F.lit(collection).alias("collection"), below(engine.spark, path).alias("path"), usable("content").alias("body"))
         known = engine.store.table("documents").where(F.col("active") & (F.col("collection") == collection))
         # What isn't in the batch stays: it is handed on without text, which counts as present.
         rest = known.join(came.select("path"), "path", "left_anti").select("collection", "path", F.lit(None).cast("string").alias("body"))
