@@ -341,7 +341,7 @@ class Engine:
         return n
 
     def vacuum(self) -> None:
-        """Compact small segments and delete old ones."""
+        """Compact small segments and delete old ones, one table after the other."""
         self._settle("documents", self.store.table("documents"))
         for t in ("content", "vectors"):
             if len(self.store.state["tables"][t]) > 1:
