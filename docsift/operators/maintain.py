@@ -46,12 +46,17 @@ def marks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("revision", word).agg(F.bit_or(bit).alias("bits"))
 
 
-def marked(rows: DataFrame, chosen: DataFrame, there: bool = True) -> DataFrame:
-    """Rows that ``chosen`` names by revision and number, or the others; only the bits are moved, never a row."""
+def flagged(rows: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
+    """Adds whether ``chosen`` names a row by revision and number; only the bits are moved, never a row."""
     bits = F.broadcast(marks(chosen.select(*ROW)).withColumnRenamed("revision", "_revision"))
     on = (F.col("revision") == F.col("_revision")) & (F.shiftright("number", 6) == F.col("word"))
     hit = F.expr("coalesce(getbit(bits, CAST(number & 63 AS INT)), 0) = 1")
-    return rows.join(bits, on, "left").where(hit if there else ~hit).drop("_revision", "word", "bits")
+    return rows.join(bits, on, "left").withColumn(name, hit).drop("_revision", "word", "bits")
+
+
+def marked(rows: DataFrame, chosen: DataFrame, there: bool = True) -> DataFrame:
+    """Rows that ``chosen`` names by revision and number, or the others."""
+    return flagged(rows, chosen, "_there").where("_there" if there else "not _there").drop("_there")
 
 
 def unembedded(documents: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ class Engine:
         scratch, version = f"{self.store.root}/scan-{uuid.uuid4().hex}", self.store.state["version"]
         try:
             numbered = files.with_identity(scanned).withColumn("body_len", F.char_length("body")).withColumn("number", F.monotonically_increasing_id())
-            numbered.write.option("compression", "zstd").parquet(f"{scratch}/files")
+            self.store.put(numbered, f"{scratch}/files", small=True)
             scan = self.spark.read.parquet(f"{scratch}/files").withColumn("revision", F.lit(version).cast("long"))
             docs = self.store.table("documents")
             mine = docs.where(F.col("collection").isin(list(collections)))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,10 @@ from docsift.schema import TABLES, Collection
 CLAIM_MS = 600_000
 #: Of the tables' layout.
 FORMAT = 2
+#: Bytes of files that a task sorts, whatever the session's splits are, so that it needs no room on disk for it. A row group can't be
+#: split, so those of files that are sorted later are no larger.
+SORT_BYTES = 8 << 20
+SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
 class Store:
@@ -96,9 +102,30 @@ class Store:
         rows = rows.select(*TABLES[name].names)
         if sort:
             rows = rows.sortWithinPartitions(*sort)
-        rows.write.option("compression", "zstd").parquet(f"{self.root}/{segment}")
+        with self._splits(SORT_BYTES if sort else None):
+            self.put(rows, f"{self.root}/{segment}", small=bool(sort))
         return segment
 
+    @staticmethod
+    def put(rows: DataFrame, folder: str, small: bool = False) -> None:
+        """Files of rows; ``small`` bounds their row groups."""
+        writer = rows.write.option("compression", "zstd")
+        (writer.option("parquet.block.size", SORT_BYTES) if small else writer).parquet(folder)
+
+    @contextmanager
+    def _splits(self, most: int | None) -> Iterator[None]:
+        """Tasks read at most so many bytes of files meanwhile."""
+        conf = self.spark.conf
+        was, size = conf.get(SPLIT), self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        if most is None or size <= most:
+            yield
+            return
+        conf.set(SPLIT, str(most))
+        try:
+            yield
+        finally:
+            conf.set(SPLIT, was)
+
     def append(self, name: str, rows: DataFrame, sort: tuple[str, ...] = ()) -> None:
         self.state["tables"][name].append(self.write(name, rows, sort))
 
