@@ -165,9 +165,10 @@ class Engine:
         first = first.join(self.store.table("content").select("hash"), "hash", "left_anti")
         self.store.append("content", maintain.marked(scan, first).withColumnRenamed("body", "doc").withColumn("created_at", now))
         sizes = self._index(maintain.marked(scan, fresh).withColumn("filepath", F.concat_ws("/", *keys)), FIELDS)
-        # A path may stand on several rows, which stay as they are and don't multiply.
+        # A path may stand on several rows, which stay as they are and don't multiply. A clock that was set back doesn't put a change
+        # before its document.
         born = mine.groupBy(*keys).agg(F.min("created_at").alias("born"))
-        changed = fresh.join(born, keys, "left").join(sizes, "number", "left").withColumns({"created_at": F.coalesce("born", now), "modified_at": now, "active": F.lit(True), "doc_tokens": F.coalesce("doc_tokens", F.lit(0))}).select(*docs.columns)
+        changed = fresh.join(born, keys, "left").join(sizes, "number", "left").withColumns({"created_at": F.coalesce("born", now), "modified_at": F.greatest("born", now), "active": F.lit(True), "doc_tokens": F.coalesce("doc_tokens", F.lit(0))}).select(*docs.columns)
         gone = status.where(F.col("status") == maintain.REMOVED).select(*keys, F.lit(True).alias("gone")).distinct()
         rest = docs.join(fresh.select(*keys), keys, "left_anti").join(gone, keys, "left").withColumn("active", F.col("active") & F.col("gone").isNull()).drop("gone")
         self.store.replace("documents", rest.unionByName(changed))
